@@ -1,0 +1,160 @@
+"""Consensus from several annotators' labels by spectral reliability.
+
+Each verdict is centred by what its annotator would say by chance (own rates of
+"first shown", "second shown" and "tie"), so a position-biased annotator carries no
+signal. The agreement matrix of centred votes, corrected for the number of items two
+annotators share, is approximately rank one; its leading vector holds the annotators'
+reliabilities. It is found by power iteration without ever building annotator pairs:
+per item a weighted sum of the votes, per annotator the inner product with it, i.e.
+two joins and two aggregations over the vote table in each round.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palaver.session import cut, join_side, materialise
+
+ITEM = ["question_id", "turn", "model_1", "model_2"]
+LABELS = ("model_1", "model_2", "tie")
+
+
+def verdicts(judgments: DataFrame) -> DataFrame:
+    """One row per (item, annotator, game) with a valid verdict.
+
+    Rows repeated whole count once. The pair is put in name order, null ``turn`` is 1,
+    ``error``, null and unknown verdicts are dropped, rows without annotator, question
+    or model names as well. ``first`` tells whether the label is the model shown first.
+    """
+    text = [c for c in ("g1_user_prompt", "g2_user_prompt", "g1_judgment", "g2_judgment") if c in judgments.columns]
+    rows = (
+        judgments.select(
+            "question_id",
+            F.coalesce(F.col("turn"), F.lit(1)).cast("int").alias("turn"),
+            F.trim("model_1").alias("m1"),
+            F.trim("model_2").alias("m2"),
+            F.get(F.col("judge"), F.lit(0)).alias("annotator"),
+            F.to_json(F.struct("judge")).alias("judge_key"),
+            "tstamp",
+            "turn",
+            "g1_winner",
+            "g2_winner",
+            F.xxhash64(*text).alias("text_key") if text else F.lit(0).alias("text_key"),
+        )
+        .toDF("question_id", "turn", "m1", "m2", "annotator", "judge_key", "tstamp", "raw_turn", "g1_winner", "g2_winner", "text_key")
+        .where("question_id is not null and m1 is not null and m2 is not null and annotator is not null")
+        .dropDuplicates()
+    )
+    flip = F.col("m1") > F.col("m2")
+    label = lambda c: F.when(F.col(c) == "tie", "tie").when(F.col(c).isin("model_1", "model_2"), F.when((F.col(c) == "model_1") == ~flip, "model_1").otherwise("model_2"))
+    game = lambda n: F.struct(
+        label(f"g{n}_winner").alias("label"),
+        # canonical model_1 is on the first seat in game 1 unless flipped, and the other way round in game 2
+        (flip if n == 2 else ~flip).alias("one_first"),
+    )
+    return (
+        rows.select("question_id", "turn", F.least("m1", "m2").alias("model_1"), F.greatest("m1", "m2").alias("model_2"), "annotator", F.explode(F.array(game(1), game(2))).alias("g"))
+        .select(*ITEM, "annotator", "g.label", "g.one_first")
+    )
+
+
+def _profile(votes: DataFrame, smooth: float) -> DataFrame:
+    """Chance rates of each annotator by seat, smoothed towards one third."""
+    first = ((F.col("label") == "model_1") & F.col("one_first")) | ((F.col("label") == "model_2") & ~F.col("one_first"))
+    tie = F.col("label") == "tie"
+    n = F.count(F.lit(1))
+    rate = lambda hit: (F.sum(hit.cast("double")) + smooth / 3) / (n + smooth)
+    return votes.groupBy("annotator").agg(rate(first).alias("p_first"), rate(~first & ~tie).alias("p_second"), rate(tie).alias("p_tie"), n.alias("verdicts"))
+
+
+def consensus(judgments: DataFrame, min_annotators: int = 1, rounds: int = 12, tol: float = 1e-3, smooth: float = 6.0, shrink: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """Return (items, annotators).
+
+    items: the item key, ``winner`` (model_1, model_2 or tie), ``agreement`` (share of
+    the reliability weight behind the winner), ``observed`` (share of equal verdicts
+    among the pairs of verdicts of different annotators, computed from counts),
+    ``annotators`` (distinct annotators with any row, valid or not).
+    annotators: ``annotator``, ``reliability``, ``verdicts``, ``items``.
+
+    Defined cases: an item whose annotators gave no valid verdict is a tie with null
+    agreement; equal scores fall to the larger plain count, then to model_1 before
+    model_2 before tie; an empty table gives empty results; extra columns are ignored.
+    Reliability is 0 for an annotator who shares no item with another one.
+    """
+    votes_all = verdicts(judgments)
+    seen = votes_all.groupBy(*ITEM).agg(F.countDistinct("annotator").alias("annotators"))
+    votes = materialise(votes_all.where("label is not null"))
+    profile = materialise(_profile(votes, smooth))
+    size = profile.count()
+    one = lambda name: (F.col("label") == name).cast("double")
+    e1 = F.when(F.col("one_first"), F.col("p_first")).otherwise(F.col("p_second"))
+    e2 = F.when(F.col("one_first"), F.col("p_second")).otherwise(F.col("p_first"))
+    centred = materialise(
+        votes.join(join_side(profile, size), "annotator")
+        .groupBy(*ITEM, "annotator")
+        .agg(
+            F.avg(one("model_1") - e1).alias("c1"),
+            F.avg(one("model_2") - e2).alias("c2"),
+            F.avg(one("tie") - F.col("p_tie")).alias("c3"),
+            F.sum(one("model_1")).alias("n1"),
+            F.sum(one("model_2")).alias("n2"),
+            F.sum(one("tie")).alias("n3"),
+            F.count(F.lit(1)).alias("games"),
+        )
+        .withColumn("item", F.xxhash64(*ITEM))
+    )
+    slim = centred.select("item", "annotator", "c1", "c2", "c3")
+    r = cut(profile.select("annotator", F.lit(0.5).alias("r")))
+    for _ in range(rounds):
+        side = join_side(r, size)
+        held = slim.join(side, "annotator")
+        sums = held.groupBy("item").agg(*[F.sum(F.col("r") * F.col(c)).alias(f"t{i}") for i, c in enumerate(("c1", "c2", "c3"), 1)], F.sum(F.col("r") ** 2).alias("q"))
+        inner = sum(F.col(c) * (F.col(f"t{i}") - F.col("r") * F.col(c)) for i, c in enumerate(("c1", "c2", "c3"), 1))
+        nxt = (
+            held.join(sums, "item")
+            .groupBy("annotator")
+            .agg(F.sum(inner).alias("up"), F.sum(F.col("q") - F.col("r") ** 2).alias("down"), F.max("r").alias("old"))
+            # the overlap correction: divide by the shared weight, not by all items; few shared items shrink to 0
+            .select("annotator", F.greatest(F.lit(-0.9), F.least(F.lit(0.9), F.col("up") / (F.col("down") + F.lit(shrink) * 0.25))).alias("r"), "old")
+        )
+        nxt = cut(nxt)
+        moved = nxt.agg(F.max(F.abs(F.col("r") - F.col("old")))).first()[0]
+        r = nxt.select("annotator", F.coalesce("r", F.lit(0.0)).alias("r"))
+        if moved is None or moved < tol:
+            break
+    # a reliability of r stands for the log odds of being right
+    weight = F.log((1 + F.col("r")) / (1 - F.col("r")))
+    score = [F.sum(weight * F.col(c)).alias(f"s{i}") for i, c in enumerate(("c1", "c2", "c3"), 1)]
+    plain = [F.sum(f"n{i}").alias(f"k{i}") for i in (1, 2, 3)]
+    same_own = sum(F.col(f"n{i}") ** 2 for i in (1, 2, 3))
+    mass = [F.sum(F.greatest(weight, F.lit(0.0)) * F.col(f"n{i}") / F.col("games")).alias(f"w{i}") for i in (1, 2, 3)]
+    best = F.array_max(F.array(*[F.struct(F.round(F.col(f"s{i}"), 9).alias("s"), F.col(f"k{i}").alias("k"), F.lit(-i).alias("o"), F.lit(LABELS[i - 1]).alias("label"), F.col(f"w{i}").alias("w")) for i in (1, 2, 3)]))
+    n_all, n_own = sum(F.col(f"k{i}") for i in (1, 2, 3)), F.col("own")
+    scored = (
+        centred.join(join_side(r, size), "annotator")
+        .groupBy(*ITEM)
+        .agg(*score, *plain, *mass, F.sum(same_own).alias("same_own"), F.sum(F.col("games") ** 2).alias("own"))
+        .withColumn("best", best)
+        .select(
+            *ITEM,
+            F.col("best.label").alias("winner"),
+            F.try_divide(F.col("best.w"), F.col("w1") + F.col("w2") + F.col("w3")).alias("agreement"),
+            F.try_divide(sum(F.col(f"k{i}") ** 2 for i in (1, 2, 3)) - F.col("same_own"), n_all**2 - n_own).alias("observed"),
+        )
+    )
+    items = seen.join(scored, ITEM, "left").select(*ITEM, F.coalesce("winner", F.lit("tie")).alias("winner"), "agreement", "observed", "annotators")
+    if min_annotators > 1:
+        items = items.where(F.col("annotators") >= min_annotators)
+    items_per = centred.groupBy("annotator").agg(F.count(F.lit(1)).alias("items"))
+    annotators = profile.join(r, "annotator", "left").join(items_per, "annotator", "left").select("annotator", F.coalesce("r", F.lit(0.0)).alias("reliability"), "verdicts", F.coalesce("items", F.lit(0)).alias("items"), "p_first", "p_second", "p_tie")
+    return items, annotators
+
+
+def chance_rates(judgments: DataFrame, smooth: float = 6.0) -> DataFrame:
+    """The annotators' seat and tie rates that the centring uses."""
+    votes = verdicts(judgments).where("label is not null")
+    return _profile(votes, smooth)
+
+
+__all__: list[str] = ["chance_rates", "consensus", "verdicts"]
