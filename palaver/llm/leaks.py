@@ -1,13 +1,12 @@
 """Evaluation texts leaking into training text: a distributed positional inverted index.
 
-1. Every training text becomes its postings: (term, position) of the terms that occur in
-   the test material, stored once as a table in the shared folder.
+1. Every training text becomes its postings: the places of the terms that occur in the
+   test material, stored once as a table in the shared folder.
 2. Document frequencies of the terms are counted over all documents.
-3. Of every window of ``words`` test words the rarest terms are the seeds. Their posting
-   lists, adjusted by the offset in the test text, are intersected: a document with two
-   seeds of one test text at (nearly) one offset is a candidate.
-4. Candidates are matched word by word: runs of equal words in order that may step over
-   single altered, inserted or missing words (exact phrase and proximity matches).
+3. Every run of a few test words is looked up by the postings of its rarest term; the lists
+   of its other terms, adjusted by their offsets, must hold the neighbouring places.
+4. Documents found so are matched word by word: runs of equal words in order that may step
+   over single altered, inserted or missing words (exact phrase and proximity matches).
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver.llm.skeleton import skeleton
@@ -27,14 +25,14 @@ from palaver.session import join_side, materialise
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>|<!--.{0,2000}?-->|&(?:[a-z]{2,8}|#\d{1,6});|\\[nrt\"\\]|\\u[0-9a-fA-F]{4}", re.S)
 _WORD = re.compile(r"[^\W_]+")
-SEEDS_PER_WINDOW = 3
+_BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t]*(?=[^\W\d_])")
 
 
 def words(text: str | None) -> list[str]:
     """Words without regard to case, accents, character forms, mark-up and punctuation."""
     if not text:
         return []
-    text = _TAG.sub(" ", skeleton(text)).lower()
+    text = _BROKEN.sub("", _TAG.sub(" ", skeleton(text))).lower()
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
     return _WORD.findall(text)
@@ -45,19 +43,20 @@ def term_id(word: str) -> int:
 
 
 def postings(df: DataFrame, id_col: str, text: str, vocabulary: frozenset[int] | None) -> DataFrame:
-    """(id, terms, places): the postings of each document, in reading order, restricted to
-    ``vocabulary`` if given. Documents without any are left out."""
-    schema = "id bigint, terms array<bigint>, places array<int>"
+    """(id, terms): the postings of each document in place order, i.e. ``terms[p]`` is the
+    term at place p, or 0 where the word does not occur in the test material (not in
+    ``vocabulary``, if given). Documents without any posting are left out."""
+    schema = "id bigint, terms array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for b in batches:
-            ids, terms, places = [], [], []
+            ids, terms = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if i is None or not t:
                     continue
-                ts, ps = [], []
-                for p, w in enumerate(words(t)):
+                ts = []
+                for w in words(t):
                     h = known.get(w)
                     if h is None:
                         h = term_id(w)
@@ -65,25 +64,23 @@ def postings(df: DataFrame, id_col: str, text: str, vocabulary: frozenset[int] |
                             h = 0
                         if len(known) < 500_000:  # memory of the cache only; the value is the same without it
                             known[w] = h
-                    if h:
-                        ts.append(h)
-                        ps.append(p)
-                if ts:
+                    ts.append(h)
+                if any(ts):
                     ids.append(i)
                     terms.append(ts)
-                    places.append(ps)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["id", "terms", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], names=["id", "terms"])
 
     return df.select(F.col(id_col).cast("bigint"), F.col(text)).mapInArrow(run, schema)
 
 
-def best_passage(terms: list[int], places: list[int], item: list[int]) -> tuple[int, int, int, int]:
+def best_passage(terms: list[int], item: list[int]) -> tuple[int, int, int, int]:
     """(equal words, altered words, first place in the document, first place in the item)
     of the best run: equal words count 1, a step over one altered, inserted or missing
     word costs 2. Runs never step over two altered words at once."""
     where: dict[int, list[int]] = {}
-    for t, p in zip(terms, places, strict=True):
-        where.setdefault(t, []).append(p)
+    for p, t in enumerate(terms):
+        if t:
+            where.setdefault(t, []).append(p)
     runs: dict[tuple[int, int], tuple] = {}
     best: tuple = (0, 0, 0, 0, 0)
     for i, w in enumerate(item):
@@ -99,10 +96,11 @@ def best_passage(terms: list[int], places: list[int], item: list[int]) -> tuple[
     return best[1:]
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", parts: tuple[str, ...] = ("prompt", "reference"), length: int = 12, per_altered: int = 14, vocabulary_bound: int = 1_000_000) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", parts: tuple[str, ...] = ("prompt", "reference"), length: int = 12, per_altered: int = 14, long: int = 24, per_altered_long: int = 8, vocabulary_bound: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, part, equal, altered, doc_place, item_place): one row for each
     document and test text of which it holds ``length`` or more words in their order,
-    with at most one altered word for every ``per_altered`` equal ones.
+    with at most one altered word for every ``per_altered`` equal ones, or for every
+    ``per_altered_long`` of a passage of ``long`` or more equal words.
 
     Null and empty texts hold nothing. A test text shorter than ``length`` words is never
     found. Repeated ids are the caller's concern: their rows are matched one by one.
@@ -115,36 +113,33 @@ def leaked_passages(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["item", "part", "tokens"])
 
     texts = materialise(items.select(F.col(item_col).cast("bigint"), *parts).mapInArrow(split, item_schema).where(F.size("tokens") >= length))
-    places = texts.select("item", "part", F.posexplode("tokens").alias("at", "term"))
-    terms = places.select("term").distinct()
+    terms = texts.select(F.explode("tokens").alias("term")).distinct()
     n_terms = terms.count()
     vocabulary = frozenset(r[0] for r in terms.collect()) if n_terms <= vocabulary_bound else None
     stored = materialise(postings(documents, id_col, text, vocabulary))
     frequency = stored.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # a window is named by its first word; word `at` is in the windows that begin up to length - 1 before it
-    windows = (
-        places.join(frequency, "term", "left")
-        .join(texts.select("item", "part", (F.size("tokens") - length).alias("last")), ["item", "part"])
-        .withColumn("begin", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - length + 1), F.col("at"))))
-        .where(F.col("begin") <= F.col("last"))
-    )
-    rank = F.row_number().over(W.partitionBy("item", "part", "begin").orderBy(F.coalesce("df", F.lit(0)), "at"))
-    seeds = materialise(windows.withColumn("rank", rank).where(F.col("rank") <= SEEDS_PER_WINDOW).select("item", "part", "at", "term").distinct())
+    # Every passage within these rates holds `clean` equal words in a row (m equal and a altered words make a run of
+    # m / (a + 1)), so each window of that many test words is looked up by the postings of its rarest term.
+    clean = min(length, per_altered // 2, long // (long // per_altered_long + 1))
+    held_places = F.transform(F.sequence(F.lit(0), F.size("tokens") - clean), lambda i: F.slice("tokens", i + 1, clean))
+    windows = texts.select("item", "part", F.explode(held_places).alias("window")).distinct()
+    ranked = windows.select("window").distinct().select("window", F.posexplode("window").alias("offset", "term")).join(frequency, "term")
+    seeds = materialise(ranked.groupBy("window").agg(F.min_by(F.struct("term", "offset"), F.struct("df", "offset")).alias("s"), F.count(F.lit(1)).alias("present")).where(F.col("present") == clean).select("window", "s.term", "s.offset"))
     n_seeds = seeds.count()
-    hits = stored.select("id", F.explode(F.arrays_zip("terms", "places")).alias("z")).select("id", F.col("z.terms").alias("term"), F.col("z.places").alias("place")).join(join_side(seeds, n_seeds), "term")
-    # offsets may shift by a few words where words were inserted: two overlapping grids of 16
-    grid = F.explode(F.array(F.floor((F.col("place") - F.col("at")) / 16) * 2, F.floor((F.col("place") - F.col("at") + 8) / 16) * 2 + 1))
-    candidates = hits.select("id", "item", "part", "at", grid.alias("cell")).groupBy("id", "item", "part", "cell").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("id", "item", "part").distinct()
+    lists = stored.select("id", "terms", F.posexplode("terms").alias("place", "term")).where("term <> 0")
+    phrases = lists.join(join_side(seeds, n_seeds), "term").where((F.col("place") >= F.col("offset")) & (F.slice("terms", F.greatest(F.col("place") - F.col("offset") + 1, F.lit(1)), clean) == F.col("window"))).select("id", "window").distinct()
+    n_windows = windows.count()
+    candidates = phrases.join(join_side(windows, n_windows), "window").select("id", "item", "part").distinct()
     n_texts = texts.count()
-    held = candidates.join(stored, "id").join(join_side(texts, n_texts, 20_000), ["item", "part"]).select("id", "item", "part", "terms", "places", "tokens")
+    held = candidates.join(stored, "id").join(join_side(texts, n_texts, 20_000), ["item", "part"]).select("id", "item", "part", "terms", "tokens")
     schema = "doc_id bigint, item_id bigint, part string, equal int, altered int, doc_place int, item_place int"
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, item, part, ts, ps, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                equal, altered, dp, ip = best_passage(ts, ps, tokens)
-                if equal >= length and altered * per_altered <= equal:
+            for i, item, part, ts, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                equal, altered, dp, ip = best_passage(ts, tokens)
+                if equal >= length and altered * (per_altered if equal < long else per_altered_long) <= equal:
                     out.append((i, item, part, equal, altered, dp, ip))
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
