@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("general",)
+MODULES = ("general", "arena", "judging")
 
 
 def _merged(what: str) -> dict:
