@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm.languages import NAMES, UNDETERMINED, Model, Reader, sentences_of
 from palaver.llm.skeleton import prototype, skeleton
+from palaver.session import materialise
 
 #: Ways in which a store may count the size of a text.
 MEASURES = ("characters", "utf8", "utf16", "json", "json_ascii", "html", "crlf", "crlf_utf8")
@@ -252,7 +253,7 @@ def truncated(turns: DataFrame) -> DataFrame:
     hidden limit only the former counts, and an ellipsis there is the store's own.
     Empty texts, marks and code with closed fences are whole.
     """
-    looked = inspect_endings(turns)
+    looked = materialise(inspect_endings(turns))
     limits = hidden_limits(turns)
     sized = looked.withColumn("sizes", F.create_map(*[x for n, m in measures(F.col("text")).items() for x in (F.lit(n), m)]))
     by_source = limits.groupBy(F.col("source").alias("limit_source")).agg(F.collect_list(F.struct("measure", "size")).alias("limits"))  # at most one row for each measure and limit
@@ -394,6 +395,9 @@ def is_copy(prompt: str, text: str, cover: float = 0.8) -> bool:
     p, t = tokens(prompt), tokens(text)
     if len(p) < 3 or not t or len(t) > 3 * len(p) + 8:
         return False
+    have = set(t)
+    if sum(w in have for w in p) < cover * len(p) - 1:  # tiles cannot cover more than the words in common
+        return False
     rest = t
     covered = [False] * len(p)
     for again in range(3):
@@ -440,7 +444,7 @@ def asked_languages(prompt: str) -> set[str]:
 def main_language(reader: Reader, text: str, min_letters: int = 12, least: float = 0.2) -> str:
     """Language of most letters of a text; ``und`` where little of it is language."""
     sentences = sentences_of(text)
-    reader.prepare(set(sentences))
+    reader.prepare(set(sentences))  # those of a whole batch are known already
     _, whole, main = reader.read([sentences])
     if not whole:
         return UNDETERMINED
@@ -456,6 +460,7 @@ def defects(turns: DataFrame, questions: DataFrame, answers: DataFrame, model: M
     whose question is unknown is judged without a prompt; a turn beyond the prompts is not
     judged; repeated question ids take the first row by their turns.
     """
+    turns = materialise(turns)
     cut = truncated(turns).select("answer_id", "choice_index", "turn_index", "broken", "at_limit")
     one = questions.where("question_id is not null").groupBy("question_id").agg(F.min("turns").alias("prompts"))
     choices = answers.select("answer_id", "question_id", "model_id", "choices").dropDuplicates().select("answer_id", "question_id", "model_id", F.posexplode("choices").alias("at", "c"))
@@ -474,7 +479,9 @@ def defects(turns: DataFrame, questions: DataFrame, answers: DataFrame, model: M
         reader = Reader(shared.value)
         for b in batches:
             out = []
-            for prompt, text, broken in zip(b.column(4).to_pylist(), b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True):
+            prompts, texts = b.column(4).to_pylist(), b.column(6).to_pylist()
+            reader.prepare({x for t in {*prompts, *texts} for x in sentences_of(t)})
+            for prompt, text, broken in zip(prompts, texts, b.column(7).to_pylist(), strict=True):
                 if is_empty(text):
                     out.append("empty")
                 elif prompt and is_copy(prompt, text):
