@@ -123,7 +123,7 @@ def rule_label(gold: Column | str, answer: Column | str, question: Column | str)
     a = F.trim(F.when(boxed != "", boxed).when(said != "", said).otherwise(raw))
     number = r"^-?\$?\d[\d,]*(?:\.\d+)?$"
     digits = lambda x: F.regexp_replace(x, r"[$,]", "").try_cast("double")
-    last = F.element_at(F.regexp_extract_all(a, F.lit(r"(-?\d[\d,]*(?:\.\d+)?)"), F.lit(1)), -1)
+    last = F.try_element_at(F.regexp_extract_all(a, F.lit(r"(-?\d[\d,]*(?:\.\d+)?)"), F.lit(1)), F.lit(-1))
     numeric = F.rlike(g, F.lit(number))
     options = F.rlike(col(question), F.lit(r"\(A\)[\s\S]*\(B\)[\s\S]*\(C\)"))
     own = F.regexp_extract(F.upper(F.trim(col(gold))), r"^\(([A-F])\)", 1)

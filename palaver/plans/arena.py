@@ -41,7 +41,7 @@ def arena_battles_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arena_battles_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = arena.battle_columns(arena.valid_battles(log(spark, sf_dir)), "conv_release")
-    return b.select("battle_id", "model_a", "model_b", "winner", F.size("conversation_a").alias("messages"), F.element_at("conversation_a", -1)["role"].alias("last_role"))
+    return b.select("battle_id", "model_a", "model_b", "winner", F.size("conversation_a").alias("messages"), F.try_element_at("conversation_a", F.lit(-1))["role"].alias("last_role"))
 
 
 def arena_type_hist(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,7 @@ _RATES = "SELECT x.model AS model, sum(x.win)::BIGINT AS win, sum(x.loss)::BIGIN
 _N = """n AS (SELECT question_id, coalesce(turn, 1) AS turn, judge[1] AS judge, least(model_1, model_2) AS model_1, greatest(model_1, model_2) AS model_2,
   CASE WHEN model_1 > model_2 THEN CASE g1_winner WHEN 'model_1' THEN 'model_2' WHEN 'model_2' THEN 'model_1' ELSE g1_winner END ELSE g1_winner END AS g1,
   CASE WHEN model_1 > model_2 THEN CASE g2_winner WHEN 'model_1' THEN 'model_2' WHEN 'model_2' THEN 'model_1' ELSE g2_winner END ELSE g2_winner END AS g2 FROM {src})"""
+_N_DECIDED = _N.format(src="(SELECT * FROM d WHERE g1_winner <> 'tie')")
 _A = "a AS (SELECT question_id, model_id, dense_rank() OVER (ORDER BY model_id) AS idx FROM (SELECT DISTINCT question_id, model_id FROM model_answer))"
 
 
@@ -183,6 +184,6 @@ SQL = {
     "judge_parse_verdicts": f"WITH {_D}, v AS (SELECT *, CASE WHEN contains(g1_judgment, '[[A]]') THEN 'A' WHEN contains(g1_judgment, '[[B]]') THEN 'B' WHEN contains(g1_judgment, '[[C]]') THEN 'tie' ELSE 'error' END AS m1, CASE WHEN contains(g2_judgment, '[[A]]') THEN 'A' WHEN contains(g2_judgment, '[[B]]') THEN 'B' WHEN contains(g2_judgment, '[[C]]') THEN 'tie' ELSE 'error' END AS m2 FROM d WHERE g1_judgment IS NOT NULL) SELECT question_id, model_1, model_2, tstamp, m1 AS mark_1, CASE m1 WHEN 'A' THEN 'model_1' WHEN 'B' THEN 'model_2' ELSE m1 END AS game_1, CASE m2 WHEN 'A' THEN 'model_2' WHEN 'B' THEN 'model_1' ELSE m2 END AS game_2 FROM v",
     "judge_parse_scores": "SELECT question_id, CASE question_id % 4 WHEN 0 THEN (question_id % 11)::DOUBLE WHEN 1 THEN (question_id % 7) + 0.5::DOUBLE ELSE -1::DOUBLE END AS score, CASE question_id % 4 WHEN 3 THEN (question_id % 9)::DOUBLE ELSE -1::DOUBLE END AS a, CASE question_id % 4 WHEN 3 THEN (question_id % 5)::DOUBLE ELSE -1::DOUBLE END AS b, CASE WHEN question_id % 4 <> 3 THEN 'error' WHEN question_id % 9 = question_id % 5 THEN 'tie' WHEN question_id % 9 > question_id % 5 THEN 'A' ELSE 'B' END AS winner FROM question",
     "judge_routing": f"WITH t AS (SELECT question_id, category, unnest(range(1, len(turns) + 1))::INT AS turn FROM question) SELECT question_id, turn, CASE WHEN coalesce(category IN {_REF}, false) THEN CASE WHEN turn > 1 THEN 'pair-math-v1-multi-turn' ELSE 'pair-math-v1' END WHEN turn > 1 THEN 'pair-v2-multi-turn' ELSE 'pair-v2' END AS judge_name FROM t",
-    "judge_lookup": f"WITH {_D}, {_N.format(src='(SELECT * FROM d WHERE g1_winner <> 'tie')')}, k AS (SELECT * FROM n WHERE judge = 'egret-judge' QUALIFY row_number() OVER (PARTITION BY question_id, turn, model_1, model_2 ORDER BY g1 NULLS FIRST, g2 NULLS FIRST) = 1), g AS (SELECT DISTINCT question_id, coalesce(turn, 1) AS turn, model_2 AS model_1, model_1 AS model_2 FROM d WHERE judge[1] = 'egret-judge') SELECT g.question_id, g.turn, g.model_1, g.model_2, coalesce(CASE WHEN g.model_1 > g.model_2 THEN CASE k.g2 WHEN 'model_1' THEN 'model_2' WHEN 'model_2' THEN 'model_1' ELSE k.g2 END ELSE k.g1 END, 'N/A') AS g1, coalesce(CASE WHEN g.model_1 > g.model_2 THEN CASE k.g1 WHEN 'model_1' THEN 'model_2' WHEN 'model_2' THEN 'model_1' ELSE k.g1 END ELSE k.g2 END, 'N/A') AS g2 FROM g LEFT JOIN k ON k.question_id = g.question_id AND k.turn = g.turn AND k.model_1 = least(g.model_1, g.model_2) AND k.model_2 = greatest(g.model_1, g.model_2)",
+    "judge_lookup": f"WITH {_D}, {_N_DECIDED}, k AS (SELECT * FROM n WHERE judge = 'egret-judge' QUALIFY row_number() OVER (PARTITION BY question_id, turn, model_1, model_2 ORDER BY g1 NULLS FIRST, g2 NULLS FIRST) = 1), g AS (SELECT DISTINCT question_id, coalesce(turn, 1) AS turn, model_2 AS model_1, model_1 AS model_2 FROM d WHERE judge[1] = 'egret-judge') SELECT g.question_id, g.turn, g.model_1, g.model_2, coalesce(CASE WHEN g.model_1 > g.model_2 THEN CASE k.g2 WHEN 'model_1' THEN 'model_2' WHEN 'model_2' THEN 'model_1' ELSE k.g2 END ELSE k.g1 END, 'N/A') AS g1, coalesce(CASE WHEN g.model_1 > g.model_2 THEN CASE k.g1 WHEN 'model_1' THEN 'model_2' WHEN 'model_2' THEN 'model_1' ELSE k.g1 END ELSE k.g2 END, 'N/A') AS g2 FROM g LEFT JOIN k ON k.question_id = g.question_id AND k.turn = g.turn AND k.model_1 = least(g.model_1, g.model_2) AND k.model_2 = greatest(g.model_1, g.model_2)",
     "judge_prompts": "WITH p AS (SELECT question_id, category, turns[1] AS t, '[Question]' || chr(10) || turns[1] || chr(10) || chr(10) || '[Answer]' || chr(10) || coalesce(reference[1], 'none') AS prompt FROM question), w AS (SELECT *, len(string_split(t, ' ')) + len(string_split(prompt, ' ')) AS n FROM p) SELECT question_id, prompt, question_id::VARCHAR || ': ' || substring(t, 1, 128) || '...' AS preview, CASE WHEN category IN ('writing', 'roleplay') THEN 0.7::DOUBLE WHEN category IN ('extraction', 'math', 'coding', 'reasoning') THEN 0.0::DOUBLE WHEN category IN ('stem', 'humanities') THEN 0.1::DOUBLE ELSE 0.7::DOUBLE END AS temperature, CASE WHEN n > 768 THEN 'bare' WHEN n > 420 THEN 'short' ELSE 'full' END AS size FROM w",
 }
