@@ -373,7 +373,7 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, in
                         new[j + 1] = k = run[j] + 1
                         if k > best:
                             best, at = k, [(i - k + 1, j - k + 1)]
-                        elif k == best:
+                        elif k == best >= least:
                             at.append((i - k + 1, j - k + 1))
             run = new
         if not at:

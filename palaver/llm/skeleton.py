@@ -95,7 +95,7 @@ def skeleton(text: str | None) -> str | None:
 def with_skeleton(df: DataFrame, text: str = "text", out: str = "skeleton") -> DataFrame:
     """Add the skeleton of column ``text``. Every batch is an Arrow batch; rows are independent."""
     keep = [c for c in df.columns if c != out]
-    schema = df.select(*keep, F.lit("").alias(out)).schema
+    schema = df.select(*keep, F.lit(None).cast("string").alias(out)).schema
     at = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
