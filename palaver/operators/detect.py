@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,23 +90,100 @@ def leader_clusters(rows: DataFrame, group: str, order: str, vector: str, thresh
     """Greedy leader clustering in order: each item joins the first cluster whose first member
     has at least the cosine ``threshold`` with it, else founds one: (group, order, leader).
 
-    Rounds over all groups at once: the first undecided item of each group is a leader and
-    takes all undecided items near enough. That equals the scan, since an item can only
-    join leaders in their order. Each round is one aggregation and one join; groups that
-    are hot are split by AQE, none is collected.
+    The scan is serial within a group by its definition: the items of a group go through one
+    task in sorted order as a stream, and only the leaders of one group are held, so a
+    group may have any number of items and leaders cost no rounds. An item whose cosine is
+    undefined (null, a null element, length 0 or differing) counts as cosine 0.
     """
-    from palaver.session import cut, materialise
-
-    open_ = materialise(rows.select(group, F.col(order).alias("o"), F.col(vector).alias("v")))
-    done = None
-    while True:
-        lead = open_.groupBy(group).agg(F.min("o").alias("leader"), F.min_by("v", "o").alias("lv"))
-        seen = materialise(open_.join(lead, group).withColumn("hit", (F.col("o") == F.col("leader")) | (F.coalesce(cosine(F.col("v"), F.col("lv")), F.lit(0.0)) >= threshold)))
-        taken = seen.where("hit").select(group, F.col("o").alias(order), "leader")
-        done = taken if done is None else done.unionByName(taken)
-        open_ = cut(seen.where("not hit").select(group, "o", "v"))
-        if open_.isEmpty():
-            return done
+    kind = dict(rows.dtypes)
+    schema = f"`{group}` {kind[group]}, `{order}` {kind[order]}, leader {kind[order]}"
+    held = rows.select(group, order, F.transform(vector, lambda x: x.cast("double")).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, started, scan = None, False, LeaderScan(threshold)
+        for b in batches:
+            groups, orders, vectors = (c.to_pylist() for c in b.columns)
+            leaders = []
+            for begin, end in _runs(groups):
+                if not started or groups[begin] != now:
+                    now, started, scan = groups[begin], True, LeaderScan(threshold)
+                leaders += scan.add(orders[begin:end], vectors[begin:end])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaders, b.column(1).type)], names=[group, order, "leader"])
+
+    return held.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)
+
+
+def _runs(values: list) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the runs of equal values."""
+    begin = 0
+    for k in range(1, len(values) + 1):
+        if k == len(values) or values[k] != values[begin]:
+            yield begin, k
+            begin = k
+
+
+class LeaderScan:
+    """The scan of one group; items are compared with all leaders so far in blocks."""
+
+    def __init__(self, threshold: float, block: int = 256) -> None:
+        self.threshold, self.block = threshold, block
+        self.ids: list = []
+        self.units: dict[int, tuple[list[int], np.ndarray]] = {}  # by dimension: numbers of the leaders, their directions (spare rows at the end)
+
+    def add(self, orders: list, vectors: list) -> list:
+        """The leaders of the next items."""
+        out: list = []
+        for at in range(0, len(orders), self.block):
+            part = list(zip(orders[at : at + self.block], map(self._unit, vectors[at : at + self.block]), strict=True))
+            # the leaders from before the block, for all its items of one dimension at once
+            first: dict[int, int] = {}
+            before = {d: len(numbers) for d, (numbers, _) in self.units.items()}
+            for d, n in before.items():
+                own = [k for k, (_, u) in enumerate(part) if u is not None and len(u) == d]
+                if own:
+                    near = np.stack([part[k][1] for k in own]) @ self.units[d][1][:n].T >= self.threshold
+                    for k, hit, j in zip(own, near.any(axis=1), near.argmax(axis=1), strict=True):
+                        if hit:
+                            first[k] = self.units[d][0][j]
+            for k, (order, unit) in enumerate(part):
+                number = first.get(k)
+                if self.threshold <= 0:  # any leader of undefined cosine (0) is near enough, so all are looked at in order
+                    number = self._scan(unit)
+                elif number is None and unit is not None and len(unit) in self.units:
+                    numbers, known = self.units[len(unit)]
+                    begin = before.get(len(unit), 0)
+                    near = known[begin : len(numbers)] @ unit >= self.threshold
+                    number = numbers[begin + int(near.argmax())] if near.any() else None
+                if number is None:
+                    number = len(self.ids)
+                    self.ids.append(order)
+                    self._found(number, unit)
+                out.append(self.ids[number])
+        return out
+
+    @staticmethod
+    def _unit(vector: list | None) -> np.ndarray | None:
+        """The direction of a vector, None where it has none."""
+        if not vector or any(x is None for x in vector):
+            return None
+        v = np.array(vector, np.float64)
+        norm = float(np.sqrt(v @ v))
+        return v / norm if norm > 0 else None
+
+    def _scan(self, unit: np.ndarray | None) -> int | None:
+        """The first leader near enough where the threshold is 0 or less."""
+        defined = dict(zip(*self.units[len(unit)], strict=False)) if unit is not None and len(unit) in self.units else {}
+        return next((n for n in range(len(self.ids)) if n not in defined or float(defined[n] @ unit) >= self.threshold), None)
+
+    def _found(self, number: int, unit: np.ndarray | None) -> None:
+        if unit is None:
+            return
+        numbers, known = self.units.get(len(unit), ([], np.empty((16, len(unit)))))
+        if len(numbers) == len(known):
+            known = np.concatenate([known, np.empty_like(known)])
+        known[len(numbers)] = unit
+        numbers.append(number)
+        self.units[len(unit)] = numbers, known
 
 
 def feature_join(generations: DataFrame, groups: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:

@@ -9,9 +9,6 @@ from palaver.functions import text, verdicts
 from palaver.operators import detect, prompts
 from palaver.session import canonical_name, table
 
-DIM = 8
-
-
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions as paraphrase sets: their turns are two lists, the category is the gold."""
     q = table(spark, sf_dir, "question")
@@ -26,10 +23,9 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First coordinates of the embeddings, in groups of eight."""
+    """Whole embeddings, grouped by label."""
     e = table(spark, sf_dir, "embeddings")
-    ident, vec = e.columns[0], next(c for c, t in e.dtypes if t.startswith("array"))
-    return e.select(F.col(ident).cast("bigint").alias("pos"), F.floor(F.col(ident).cast("bigint") / 8).alias("grp"), F.transform(F.slice(vec, 1, DIM), lambda x: x.cast("double")).alias("v"))
+    return e.select(F.col("vec_id").cast("bigint").alias("pos"), F.concat(F.lit("g"), "label").alias("grp"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
 def det_explode(spark, sf_dir):
@@ -61,8 +57,10 @@ def det_contradiction(spark, sf_dir):
 
 
 def det_embedding_pool(spark, sf_dir):
-    p = detect.pooled(vectors(spark, sf_dir), "grp", "v", DIM)
-    return p.select("grp", *[F.round(F.get("vector", F.lit(k)), 5).alias(f"v{k}") for k in range(DIM)])
+    v = vectors(spark, sf_dir)
+    dim = v.agg(F.max(F.size("v"))).first()[0] or 0
+    p = detect.pooled(v, "grp", "v", dim)
+    return p.select("grp", *[F.round(F.get("vector", F.lit(k)), 5).alias(f"v{k}") for k in range(dim)])
 
 
 def det_leader_cluster(spark, sf_dir):
