@@ -6,8 +6,9 @@ A conversation is ``id``, ``conversations`` (array of struct ``from``, ``value``
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,32 +119,55 @@ def split_long(df: DataFrame, max_tokens: int, tokens: Callable[[Column], Column
     return packed.select(F.concat_ws("_", F.col("id").cast("string"), (F.col("p.b") * 2).cast("string")).alias("id"), (F.col("p.b") * 2).alias("begin"), F.slice("c", F.col("p.b") * 2 + 1, (F.col("p.e") - F.col("p.b")) * 2).alias("conversations"))
 
 
-def greedy_dedup(df: DataFrame, order: str, keys: tuple[str, str], rounds: int = 50) -> DataFrame:
+def greedy_dedup(df: DataFrame, order: str, keys: tuple[str, str], rounds: int = 50, scan_rows: int = 1_000_000) -> DataFrame:
     """Rows that survive a scan in order: a row is dropped if an earlier surviving row has its
     first key or its second; dropped rows do not count.
 
     The scan as rounds of aggregations: of the undecided rows, those that come first by both
     keys survive; rows that share a key with a survivor are dropped. Each round decides at
-    least the first row of every connected group; rounds end when none is left. Null keys
-    match nothing.
+    least the first row of every connected group. After ``rounds`` rounds, what is left (long
+    chains of rows) is scanned in order by one task as soon as it is at most ``scan_rows``
+    rows; until then rounds go on, so every row is decided. Null keys match nothing.
     """
     k1, k2 = keys
     open_ = materialise(df.select(F.col(order).alias("o"), F.col(k1).alias("a"), F.col(k2).alias("b")))
-    kept = None
-    for _ in range(rounds):
+    kept, done, left = open_.limit(0), 0, open_.count()
+    while left:
+        if done >= rounds and left <= scan_rows:
+            kept = kept.unionByName(materialise(_scanned(open_)))
+            break
         first_a = open_.groupBy("a").agg(F.min("o").alias("fa")).where("a is not null")
         first_b = open_.groupBy("b").agg(F.min("o").alias("fb")).where("b is not null")
         seen = open_.join(first_a, "a", "left").join(first_b, "b", "left").select("o", "a", "b", (F.coalesce(F.col("fa") == F.col("o"), F.lit(True)) & F.coalesce(F.col("fb") == F.col("o"), F.lit(True))).alias("keep"))
         seen = materialise(seen)
         new = seen.where("keep").select("o", "a", "b")
-        kept = new if kept is None else kept.unionByName(new)
+        kept = kept.unionByName(new)
         rest = seen.where("not keep").select("o", "a", "b").join(new.select("a").where("a is not null").distinct(), "a", "left_anti").join(new.select("b").where("b is not null").distinct(), "b", "left_anti")
-        open_ = cut(rest)
-        if open_.isEmpty():
-            break
+        open_ = cut(rest.select("o", "a", "b"))
+        done, left = done + 1, open_.count()
     return df.join(kept.select(F.col("o").alias(order)), order, "left_semi")
 
 
+def _scanned(open_: DataFrame) -> DataFrame:
+    """The surviving rows of (o, a, b) by the scan itself, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_a, first_b = {}, {}
+        for batch in batches:
+            keep = []
+            for o, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                survives = first_a.get(a, o) == o and first_b.get(b, o) == o
+                keep.append(survives)
+                if survives:
+                    if a is not None:
+                        first_a[a] = o
+                    if b is not None:
+                        first_b[b] = o
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return open_.repartition(1).sortWithinPartitions("o").mapInArrow(run, open_.schema)
+
+
 def turn_stats(df: DataFrame, tokens: Callable[[Column], Column] = lambda x: F.size(F.split(x, " "))) -> DataFrame:
     """Mean number of rounds per conversation and mean tokens per response (odd places)."""
     turns = F.aggregate(F.filter(F.transform("conversations", lambda x, i: F.when(i % 2 == 1, tokens(x["value"]))), lambda t: t.isNotNull()), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("t")), lambda acc, t: F.struct((acc["n"] + 1).alias("n"), (acc["t"] + t).alias("t")))

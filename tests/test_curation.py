@@ -53,6 +53,16 @@ def test_greedy_dedup_equals_the_scan(spark):
     assert sorted(r.o for r in got) == want
 
 
+def test_greedy_dedup_decides_long_chains(spark):
+    """Rows linked alternately by the two keys: every second one survives, to the last."""
+    rows = [(i, (i + 1) // 2, 1000 + i // 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "o bigint, a bigint, b bigint")
+    want = list(range(0, 40, 2))
+    assert sorted(r.o for r in curate.greedy_dedup(df, "o", ("a", "b"), rounds=2).collect()) == want
+    assert sorted(r.o for r in curate.greedy_dedup(df.limit(14), "o", ("a", "b"), rounds=2, scan_rows=0).collect()) == want[:7]
+    assert curate.greedy_dedup(df.limit(0), "o", ("a", "b")).count() == 0
+
+
 def test_leader_clusters_equal_the_scan(spark):
     rng = random.Random(5)
     rows = [(i % 3, i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(40)]
