@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,47 +41,63 @@ def online_elo(battles: DataFrame, order: list[str], k: float = K, scale: float
     return rows.repartition(1).sortWithinPartitions(*order).select("model_a", "model_b", "points").mapInArrow(run, "model string, rating double")
 
 
-def bootstrap_elo(battles: DataFrame, rounds: int = 100, seed: int = 42) -> DataFrame:
+def bootstrap_elo(battles: DataFrame, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """(round, model, rating) of ``rounds`` resamples with replacement in random order.
 
-    Every battle enters each round a Poisson(1) number of times (the distributed form of
-    the bootstrap) with a random place; rounds are partitions, so no battle table is
-    collected or broadcast and each task folds a stream.
+    A resample of n battles in random order is n independent draws from the battles, so only
+    the numbers of the different outcomes (two models and the points) are needed: they are
+    counted once, and each task draws and folds its rounds side by side. Outcomes are at
+    most three times the ordered pairs of models, whatever the number of battles; no battle
+    table is exploded, collected or broadcast. Every round has its own random stream, so
+    the result does not depend on the partitions.
     """
     spark = battles.sparkSession
     points = battles.select("model_a", "model_b", _points().alias("points")).where("points is not null and model_a is not null and model_b is not null")
-    drawn = points.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("u", F.rand(seed))
-    limits, p, total = [], 0.36787944117144233, 0.0
-    for n in range(9):
-        total += p
-        limits.append(total)
-        p /= n + 1
-    copies = F.lit(0)
-    for edge in limits:
-        copies = copies + (F.col("u") > edge).cast("int")
-    placed = drawn.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("round", "model_a", "model_b", "points", F.rand(seed + 1).alias("place"))
+    outcomes = points.groupBy("model_a", "model_b", "points").agg(F.count(F.lit(1)).alias("n"))
     parts = min(rounds, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = placed.repartition(parts, "round").sortWithinPartitions("round", "place").select("round", "model_a", "model_b", "points")
+    each = outcomes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    ordered = each.repartition(parts, "part").sortWithinPartitions("part", "model_a", "model_b", "points").select("part", "model_a", "model_b", "points", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ratings = None, {}
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(ratings), pa.int32()), pa.array(list(ratings), pa.string()), pa.array(list(ratings.values()), pa.float64())], names=["round", "model", "rating"])
-
+        now, held = None, []
         for b in batches:
-            for r, x, y, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r != now:
-                    if ratings:
-                        yield out()
-                    now, ratings = r, {}
-                _fold(ratings, x, y, p, K, SCALE, BASE, INIT)
-        if ratings:
-            yield out()
+            for part, *outcome in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != now and held:
+                    yield _drawn_rounds(held, range(now, rounds, parts), seed)
+                    held = []
+                now = part
+                held.append(outcome)
+        if held:
+            yield _drawn_rounds(held, range(now, rounds, parts), seed)
 
     return ordered.mapInArrow(run, "round int, model string, rating double")
 
 
+def _drawn_rounds(outcomes: list, rounds: range, seed: int, chunk: int = 4096) -> pa.RecordBatch:
+    """The ratings of some rounds, each a fold over as many draws as there are battles."""
+    models = sorted({m for a, b, _, _ in outcomes for m in (a, b)})
+    at = {m: k for k, m in enumerate(models)}
+    side_a, side_b = (np.array([at[o[k]] for o in outcomes]) for k in (0, 1))
+    points = np.array([o[2] for o in outcomes])
+    up_to = np.cumsum([o[3] for o in outcomes])
+    total = int(up_to[-1])
+    streams = [np.random.default_rng([seed, r]) for r in rounds]
+    ratings = np.full(len(rounds) * len(models), INIT)
+    seen = np.zeros(len(ratings), bool)
+    first = np.arange(len(rounds)) * len(models)  # place of each round's first model
+    for begin in range(0, total, chunk):
+        steps = min(chunk, total - begin)
+        drawn = np.searchsorted(up_to, np.stack([g.integers(0, total, steps) for g in streams], axis=1), side="right")
+        a, b, p = side_a[drawn] + first, side_b[drawn] + first, points[drawn]
+        seen[a] = seen[b] = True
+        for ia, ib, won in zip(a, b, p, strict=True):
+            ra, rb = ratings[ia], ratings[ib]
+            ratings[ia] = ra + K * (won - 1 / (1 + BASE ** ((rb - ra) / SCALE)))
+            ratings[ib] = rb + K * (1 - won - 1 / (1 + BASE ** ((ra - rb) / SCALE)))
+    places = np.flatnonzero(seen)
+    return pa.RecordBatch.from_arrays([pa.array([rounds[k] for k in (places // len(models)).tolist()], pa.int32()), pa.array([models[k] for k in (places % len(models)).tolist()], pa.string()), pa.array(ratings[places], pa.float64())], names=["round", "model", "rating"])
+
+
 def interval(samples: DataFrame) -> DataFrame:
     """Median (nearest integer) and 95 % interval of bootstrap ratings."""
     q = F.percentile("rating", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))

@@ -111,7 +111,7 @@ def elo_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def elo_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = battles(spark, sf_dir).where("model_a <> model_b")
-    return ratings.interval(ratings.bootstrap_elo(b, rounds=50))
+    return ratings.interval(ratings.bootstrap_elo(b, rounds=1000))
 
 
 NAMES = ["arena_status_counts", "arena_battles_clean", "arena_battles_release", "arena_type_hist", "arena_model_hist", "arena_hourly_24", "arena_daily_counts", "arena_local_times", "arena_top_ip", "arena_server_counts", "arena_battle_matrix", "arena_win_fraction", "arena_model_winrate", "arena_model_pairs", "arena_lost_to", "elo_online", "elo_leaderboard", "elo_bootstrap_ci"]
