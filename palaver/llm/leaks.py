@@ -96,6 +96,52 @@ def best_passage(terms: list[int], item: list[int]) -> tuple[int, int, int, int]
     return best[1:]
 
 
+def runs_by_altered(terms: list[int], item: list[int], most: int, per_altered: int) -> dict[int, tuple[int, int, int]]:
+    """For each number of altered words up to ``most``: (equal words, first place in the
+    document, first place in the item) of the run with the most equal words. Runs that
+    cannot reach ``per_altered`` equal words for each altered one any more, and runs with
+    no more equal words than another of the same end with fewer altered ones, are left out."""
+    where: dict[int, list[int]] = {}
+    for p, t in enumerate(terms):
+        if t:
+            where.setdefault(t, []).append(p)
+    runs: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
+    best: dict[int, tuple[int, int, int]] = {}
+    for i, w in enumerate(item):
+        left = len(item) - 1 - i
+        for p in where.get(w, ()):
+            here = {0: (1, p, i)}
+            for di, dp, cost in ((1, 1, 0), (2, 2, 1), (1, 2, 1), (2, 1, 1)):
+                for altered, (equal, p0, i0) in runs.get((i - di, p - dp), {}).items():
+                    altered += cost
+                    if altered <= most and equal + 1 + left >= altered * per_altered and here.get(altered, (0,))[0] < equal + 1:
+                        here[altered] = (equal + 1, p0, i0)
+            top = 0
+            kept = {}
+            for altered in sorted(here):
+                if here[altered][0] > top:
+                    kept[altered], top = here[altered], here[altered][0]
+                    if top > best.get(altered, (0,))[0]:
+                        best[altered] = here[altered]
+            runs[i, p] = kept
+    return best
+
+
+def leak(terms: list[int], item: list[int], length: int, per_altered: int, long: int, per_altered_long: int) -> tuple[int, int, int, int] | None:
+    """The best run (as ``best_passage``) of those that keep the rule, None if none does."""
+
+    def keeps(equal: int, altered: int) -> bool:
+        return equal >= length and altered * (per_altered if equal < long else per_altered_long) <= equal
+
+    best = best_passage(terms, item)
+    if keeps(*best[:2]):
+        return best
+    rate = min(per_altered, per_altered_long)
+    # for one number of altered words more equal words are never worse, as long runs have the lower rate
+    found = [(equal, altered, p, i) for altered, (equal, p, i) in runs_by_altered(terms, item, len(item) // rate, rate).items() if keeps(equal, altered)]
+    return max(found, key=lambda r: (r[0] - 2 * r[1], r)) if found else None
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", parts: tuple[str, ...] = ("prompt", "reference"), length: int = 12, per_altered: int = 14, long: int = 24, per_altered_long: int = 8, vocabulary_bound: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, part, equal, altered, doc_place, item_place): one row for each
     document and test text of which it holds ``length`` or more words in their order,
@@ -138,9 +184,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
         for b in batches:
             out = []
             for i, item, part, ts, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                equal, altered, dp, ip = best_passage(ts, tokens)
-                if equal >= length and altered * (per_altered if equal < long else per_altered_long) <= equal:
-                    out.append((i, item, part, equal, altered, dp, ip))
+                run = leak(ts, tokens, length, per_altered, long, per_altered_long)
+                if run:
+                    out.append((i, item, part, *run))
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "part", "equal", "altered", "doc_place", "item_place"])

@@ -1,6 +1,6 @@
 import random
 
-from palaver.llm.leaks import best_passage, leaked_passages, term_id, words
+from palaver.llm.leaks import best_passage, leak, leaked_passages, term_id, words
 
 RNG = random.Random(3)
 WORDS = [f"w{a}{b}" for a in "abcdefghijkl" for b in "mnopqrstuv"]
@@ -59,3 +59,33 @@ def test_best_passage_is_the_longest_common_run_without_alterations():
         assert equal - 2 * altered >= longest or equal >= longest
         assert a[dp] == b[ip]
     assert term_id("a") != term_id("b")
+
+
+def test_a_clean_passage_counts_beside_a_longer_altered_one(spark):
+    w = ITEM.split()
+    grown = [*w[:12], "x1", *w[13:17], "x2", *w[18:22]]  # 20 equal, 2 altered: too many for the whole run
+    near = [*w[30:39], "x3", *w[40:44], "x4", *w[45:49]]  # 17 equal, 2 altered, and a clean run elsewhere
+    texts = [" ".join(grown), " ".join([*near, "y1", "y2", "y3", *w[3:15]]), " ".join(near)]
+    got = found(spark, texts)
+    assert set(got) == {0, 1} and (got[0].equal, got[0].altered) == (16, 1) and (got[1].equal, got[1].altered) == (12, 0)
+
+
+def test_leak_equals_all_runs():
+    """Against all runs of small texts, enumerated."""
+    rng = random.Random(6)
+    seen = set()
+    for _ in range(300):
+        item = [rng.randint(1, 9) for _ in range(12)]
+        doc = [x if rng.random() < 0.75 else rng.randint(1, 9) for x in item for _ in range(rng.choice((1, 1, 1, 1, 2)))]
+        rule = (4, 5, 8, 3)
+
+        def runs(i, p, equal, altered):
+            yield equal, altered
+            for di, dp, cost in ((1, 1, 0), (2, 2, 1), (1, 2, 1), (2, 1, 1)):
+                if i + di < len(item) and p + dp < len(doc) and item[i + di] == doc[p + dp]:
+                    yield from runs(i + di, p + dp, equal + 1, altered + cost)
+
+        want = any(e >= 4 and a * (5 if e < 8 else 3) <= e for i in range(len(item)) for p in range(len(doc)) if item[i] == doc[p] for e, a in runs(i, p, 1, 0))
+        assert (leak(doc, item, *rule) is not None) == want
+        seen.add(want)
+    assert seen == {True, False}
