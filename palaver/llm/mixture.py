@@ -55,57 +55,76 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, step_bound:
     """How many documents of each length to take so that their tokens come as near below
     ``budget`` as possible: (numbers, total).
 
-    If the whole table fits in ``step_bound``, the bounded knapsack is solved as it stands.
-    Else most of the budget is taken in proportion to the counts; the remaining budget, at
-    most a few times the longest document, is fitted by the knapsack over the documents left. ``step_bound`` bounds the table (budget left times distinct lengths).
+    At every size most of the budget is taken in proportion to the counts, and only a rest of
+    a few documents is fitted by the knapsack over the documents left. Where that misses
+    the budget, the rest is doubled, up to the whole budget (then nothing comes nearer)
+    or, beyond four of the longest documents, while distinct lengths times rest stay under
+    ``step_bound``. Of the nearest fits the one with the smallest rest counts.
     """
+    counts = counts.astype(np.int64)
     take = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not len(lengths):
         return take, 0
     whole = int((lengths * counts).sum())
     if whole <= budget:
-        return counts.astype(np.int64).copy(), whole
+        return counts.copy(), whole
     longest = int(lengths.max())
-    small = len(lengths) * (budget + 1) <= step_bound
-    # leave room of two to four of the longest documents for the exact fit
-    take = take if small else np.floor(counts * max(0.0, (budget - 2 * longest) / whole)).astype(np.int64)
-    left = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for k in order if not small else ():
-        room = left - 3 * longest
-        if room <= 0:
-            break
-        more = min(int(counts[k] - take[k]), room // int(lengths[k])) if lengths[k] > 0 else 0
-        take[k] += more
-        left -= more * int(lengths[k])
-    free = counts - take
+    best, rest = (take, 0), 2 * -(-whole // int(counts.sum()))
+    while True:
+        rest = min(rest, budget)
+        base = _in_proportion(counts, (budget - rest) / whole)
+        left = budget - int((base * lengths).sum())
+        if left >= 0:
+            fitted = base + _fit_rest(lengths, counts - base, left)
+            total = int((fitted * lengths).sum())
+            if total > best[1]:
+                best = fitted, total
+        if best[1] == budget or rest == budget or (rest > 4 * longest and len(lengths) * (2 * rest + 1) > step_bound):
+            return best
+        rest *= 2
+
+
+def _in_proportion(counts: np.ndarray, share: float) -> np.ndarray:
+    """That share of the documents, even over the lengths: of the documents up to any length
+    the number taken is the share to within one document."""
+    up_to = np.floor(np.cumsum(counts) * share + 0.5).astype(np.int64)
+    return np.minimum(np.diff(up_to, prepend=0), counts)
+
+
+def _fit_rest(lengths: np.ndarray, free: np.ndarray, left: int) -> np.ndarray:
+    """Bounded knapsack: numbers of documents of each length with the largest sum up to ``left``.
+
+    The copies of a length are items of 1, 2, 4, ... documents. Of each sum only the first
+    item that reached it is held: the sum without it was reached by earlier items, so every
+    length can be asked however long the texts are. Single documents come first, in an
+    order spread over the lengths, since the search stops when ``left`` is reached.
+    """
     use = [k for k in range(len(lengths)) if free[k] > 0 and 0 < lengths[k] <= left]
-    while len(use) * (left + 1) > step_bound and len(use) > 64:
-        use = use[::2]  # fewer distinct lengths than the table can hold still reach almost every sum
-    # used[s]: how many of the current length the sum s needs; -1 where it cannot be reached
-    reach = np.zeros(left + 1, bool)
-    reach[0] = True
-    need: list[np.ndarray] = []
-    for k in use:
-        n, a = int(free[k]), int(lengths[k])
-        row = np.full(left + 1, -1, np.int32)
-        row[reach] = 0
-        for begin in range(min(a, left + 1)):
-            lane = row[begin::a]
-            at = np.arange(len(lane))
-            last = np.maximum.accumulate(np.where(lane == 0, at, -1))
-            gap = at - last
-            lane[:] = np.where((last >= 0) & (gap <= n), gap, -1)
-        need.append(row)
-        reach = row >= 0
-        if reach[left]:
+    use = [use[k] for k in np.argsort(np.arange(1, len(use) + 1) * 0.6180339887498949 % 1.0, kind="stable")]
+    rest = {k: min(int(free[k]), left // int(lengths[k])) for k in use}
+    items: list[tuple[int, int]] = []
+    copies = 1
+    while rest:
+        items += [(k, min(copies, n)) for k, n in rest.items()]
+        rest = {k: n - copies for k, n in rest.items() if n > copies}
+        copies *= 2
+    reached = np.zeros(left + 1, bool)
+    reached[0] = True
+    first = np.full(left + 1, -1, np.int64)
+    for at, (k, n) in enumerate(items):
+        if reached[left]:
             break
-    best = int(np.flatnonzero(reach)[-1])
-    s = best
-    for k, row in zip(reversed(use[: len(need)]), reversed(need), strict=True):
-        take[k] += row[s]
-        s -= int(row[s]) * int(lengths[k])
-    return take, int((take * lengths).sum())
+        size = n * int(lengths[k])
+        new = np.flatnonzero(reached[: left + 1 - size] & ~reached[size:]) + size
+        reached[new] = True
+        first[new] = at
+    take = np.zeros(len(lengths), np.int64)
+    s = int(np.flatnonzero(reached)[-1])
+    while s:
+        k, n = items[first[s]]
+        take[k] += n
+        s -= n * int(lengths[k])
+    return take
 
 
 def plan(sizes: dict[str, int], shares: dict[str, float], repeats: dict[str, int]) -> tuple[int, dict[str, int]]:

@@ -30,6 +30,22 @@ def test_fit_of_large_budgets_is_near():
     assert total == 123_456_789 and (take <= counts).all()
 
 
+def test_fit_keeps_the_mean_length_at_every_size():
+    lengths, counts = np.arange(20, 420), np.ones(400, np.int64)
+    mean = float((lengths * counts).sum() / counts.sum())
+    for times, budget in ((1, 3000), (1, 20_000), (1, 60_000), (50, 300_000), (5000, 30_000_000)):
+        take, total = fit_budget(lengths, counts * times, budget)
+        assert total == budget and abs((take * lengths).sum() / take.sum() - mean) < 0.15 * mean, budget
+        assert take[200:].sum() > 0.4 * take.sum(), budget
+
+
+def test_fit_asks_every_length():
+    """One pair of very long texts gives the budget; no length may be left out to save room."""
+    lengths = np.array([*range(200_000, 200_400, 2), 300_001, 300_003])
+    take, total = fit_budget(lengths, np.ones(len(lengths), np.int64), 600_004)
+    assert total == 600_004 and take[-1] == take[-2] == 1
+
+
 def test_plan():
     total, budgets = plan({"a": 1000, "b": 1000, "c": 10}, {"a": 0.5, "b": 0.4, "c": 0.05, "d": 0.05}, {"a": 1, "b": 2, "c": 4, "d": 3})
     assert budgets["c"] == 40 and budgets["d"] == 0 and budgets["a"] == 1000 and budgets["b"] == 800 and total == 2000
