@@ -325,12 +325,15 @@ _FIRM = re.compile(r"won['’]?t be able|stay away|rules? it out|not permit|keep
 _NOT_ALL = re.compile(r"\bbut (?:here|you can|the|(?:i|we) can(?!['’]?t|not)(?! not))\b|\byet the\b|\bhowever\b|so plan\b|sorry to hear|\bsay:|politely", re.I)
 
 
+_ITEMS = re.compile(r"^[ \t]*(?:[-•–+]|\d{1,3}[.)])[ \t]+", re.M)
+
+
 def is_refusal(text: str, prompt: str = "") -> bool:
     """Whether a text declines and gives nothing else: every sentence declines (by the phrases
     of any language), or is a filler or a courtesy, and at least one declines something."""
     t = _TAGS.sub(" ", skeleton(text)) if text.isascii() else _TAGS.sub(" ", text)
-    t = re.sub(r"[*_#`>~]+", " ", t).strip()
-    if not t or len(t) > 400 or "\n- " in t or "\n1. " in t:
+    t = _ITEMS.sub("", re.sub(r"[*_#`>~]+", " ", t)).strip()
+    if not t:
         return False
     parts = [p for p in re.split(r"(?<=[.!?:])\s+|(?<=[。！？])|\n+", t) if any(c.isalnum() for c in p)]
     declined = 0

@@ -30,6 +30,15 @@ def test_empty_refusal_copy():
     assert not A.is_copy("Correct the mistake in this sentence: Many teachers underestimate underestimate the work.", "Many teachers underestimate the work.")
 
 
+def test_long_and_listed_refusals():
+    wordy = "I'm sorry, but I cannot help with that request. " + "I understand why you ask this question. I am not able to discuss the topic here. " * 6 + "Thank you for your patience. Have a nice day!"
+    assert len(wordy) > 400 and A.is_refusal(wordy)
+    for t in ("I have to decline this request.\n\n- I cannot answer the question.\n- I am not allowed to discuss the topic.", "Sorry.\n1. I can't help with this request.\n2. I won't discuss the topic."):
+        assert A.is_refusal(t), t
+    assert not A.is_refusal(wordy + " The capital of France is Paris.")
+    assert not A.is_refusal("I can't answer all of it. Here is what I know:\n- Paris is large.\n- Lyon is smaller.")
+
+
 def test_tiles_are_common_and_disjoint():
     rng = random.Random(4)
     for _ in range(100):
