@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +88,22 @@ helped said told asked knows has had have is does did says thinks wrote called a
 e il lo gli per non ma che con sul sulla et le les des du pas pour dans sur est une der die das und ist nicht mit von zu im auf ein eine team desk method forest boosting carlo
 reached there here now never ever also only just please thanks hello dear ask it""".split()
 )
+# What any match of a grammar holds; each is wider than the grammar, so a text without it has no candidate.
+_ROAD = {
+    "street": re.compile(rf"\d[A-Za-z]? {_W} (?:{_W} )?{STREET}(?![\w])", re.I),
+    "box": re.compile(r"(?:Box|Postfach|Apartado|P\.?) \d", re.I),
+    "rue": re.compile(r"\d(?: (?:bis|ter))?,? (?:rue|avenue|place|boulevard|allée|chemin|impasse|quai|cours)\b", re.I),
+    "strasse": re.compile(r"(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer) \d|\b(?:Am|An der|Im|Zum|Zur|Auf dem) [^\W\d_]+ \d", re.I),
+    "calle": re.compile(r"\b(?:C/|Calle|Avda|Avenida|Plaza|Paseo|Camino|Rua|Via|Viale|Piazza|Travessa)", re.I),
+}
+_DIGIT = re.compile(r"\d")
+_DIGITS = re.compile(r"\d(?:\D*\d){4}")
+_WORD = re.compile(_W)
+_KNOWN = frozenset(x.casefold() for x in (*GIVEN, *TITLES, "m"))
+_CAPITAL = r"[A-Z\u0080-\U0010ffff]"
+_CAPITALS = re.compile(rf"{_CAPITAL}[^\W\d_]* (?:[A-Za-z]\. )?{_CAPITAL}")
+#: The grammar of given name and surname where the text has no listed given name: the first word is capitalised.
+_UNLISTED = re.compile(rf"(?<![\w@.+-])((?=(?-i:{_CAPITAL})){_W}) (?:[A-Za-z]\. )?({_SUR})(?![\w@])(?!\s?(?:@|\(at|\[at))", re.I)
 _GIVEN = frozenset(GIVEN)
 _TITLES = frozenset(TITLES)
 
@@ -133,6 +148,11 @@ def _surname(word: str) -> list[str]:
     return found
 
 
+def _has_known(text: str) -> bool:
+    """Whether a word is a listed given name or a title."""
+    return not _KNOWN.isdisjoint(map(str.casefold, _WORD.findall(text)))
+
+
 def candidates(text: str, kinds: str = "endr") -> list[Candidate]:
     """All candidate segments of a (narrow) text, each with the features of its whole span.
     ``kinds`` names the grammars to try: e-mail, name, digits, road."""
@@ -163,10 +183,15 @@ def candidates(text: str, kinds: str = "endr") -> list[Candidate]:
         if sum(c.isdigit() for c in s) >= 5 and not s.isdigit() and any(c.isalpha() for c in s):
             propose(b, e, "id_number", ["letters", f"shape={_shape(s)}", f"head={len(re.match(r'[A-Z]*', s).group())}", "tail" if s[-1].isalpha() else "no_tail"])
     for kind, regex in ADDRESS.items() if "r" in kinds else ():
-        for m in regex.finditer(text):
+        for m in regex.finditer(text) if _ROAD[kind].search(text) else ():
             s = m.group()
             propose(*m.span(), "address", [f"form={kind}", "town" if "," in s or "\n" in s else "no_town"])
+    known = "n" in kinds and _has_known(text)
     for kind, regex in NAME.items() if "n" in kinds else ():
+        if not known:  # no title, no listed given name
+            if kind != "given":
+                continue
+            regex = _UNLISTED
         at = 0
         while m := regex.search(text, at):
             # overlapping matches: the next search begins at the next word
@@ -314,49 +339,26 @@ def train(lines: int = 2400, epochs: int = 6, seed: int = 7, rate: float = 0.25,
 
 # --- over messages ---------------------------------------------------------------------
 
-_DIGIT = re.compile(r"\d")
-_DIGITS = re.compile(r"\d(?:[\d ().\-/]{3,}\d|[A-Z]\d)")
-# Words that may stand in an address, and phrases that lead to a name.
-_ROAD_WORDS = " street | st | road | rd | lane | ln | avenue | ave | drive | court | close | crescent | square | boulevard | terrace | way | row | gardens | mews | box | postfach | apartado | bp | rue | place | allee | chemin | impasse | quai | cours | calle | c | avda | avenida | plaza | paseo | camino | rua | via | viale | piazza | travessa | am | im | an der | zum | zur | auf dem |straße |strasse |str |weg |gasse |allee |platz |ring |damm |ufer ".split("|")
-_NAME_WORDS = " my name is | i am | signed | dear | m appelle | ich heiße | me llamo | mi chiamo | meu nome | au nom de | on behalf of ".split("|")
-_BREAKS = "\n\t(\",;:|>.'’/"
-
-
-def _trigger() -> ahocorasick.Automaton:
-    auto = ahocorasick.Automaton()
-    for w in (*(f" {x} " for x in (*GIVEN, *TITLES) if x != "m"), *_NAME_WORDS):
-        auto.add_word(w, "n")
-    for w in _ROAD_WORDS:
-        auto.add_word(w, "r")
-    auto.make_automaton()
-    return auto
-
 
 class Finder:
-    """Finds the segments of messages; a message without any trigger is passed over fast."""
+    """Finds the segments of messages; a grammar is tried unless the message can have no candidate of it."""
 
     def __init__(self, weights: dict[str, float]) -> None:
-        self.weights, self.auto = weights, _trigger()
+        self.weights = weights
 
     def kinds(self, text: str) -> str:
-        """The grammars that may find something in a text: e-mail, digits, name, road."""
+        """The grammars that may find something in a text: e-mail, digits, name, road. An e-mail
+        address holds an at sign, a number five digits, an address a digit, a name two
+        capitalised words, a listed given name or a title."""
         low = text.lower()
-        spaced = low
-        for c in _BREAKS:
-            spaced = spaced.replace(c, " ")
         found = "e" if "@" in text or "(at)" in low or "[at]" in low or "{at}" in low else ""
-        digit = _DIGIT.search(text)
-        if digit and _DIGITS.search(text, digit.start()):
-            found += "d"
-        name, road = "M. " in text, False
-        for end, kind in self.auto.iter(f" {spaced} "):
-            if kind == "n":
-                name = True
-            elif digit and not road:
-                road = bool(_DIGIT.search(low, max(0, end - 40), end + 30))
-            if name and (road or not digit):
-                break
-        return found + "n" * name + "r" * road
+        if _DIGIT.search(text):
+            found += "r"
+            if _DIGITS.search(text):
+                found += "d"
+        if _CAPITALS.search(text) or _has_known(text):
+            found += "n"
+        return found
 
     def find(self, text: str | None) -> list[Candidate]:
         if not text or text.isspace():

@@ -56,3 +56,20 @@ def test_replacement_keeps_the_rest(spark):
 def test_numbers_of_repeated_mentions():
     found = Finder(train()).find("Ask Esra Kestindale about it. When I asked Esra Kestindale about it, the answer was no.")
     assert [c.type for c in found] == ["name", "name"]
+
+
+def test_the_gate_rejects_no_candidate():
+    kind = {"email": "e", "phone": "d", "id_number": "d", "address": "r", "name": "n"}
+    finder, rng = Finder(train()), random.Random(77)
+    texts = [pii._generated(rng)[0] for _ in range(2000)]
+    texts += ["12 Oak Blvd", "5 allée des Lilas", "B.P. 123", "Name: Tarek Velmont", "**Rosa Kest**", "[rosa kest]", "Kest, rosa!", "1234 A5", "AB123CD45", "x (AT) post.test", "Élan Ödmark", "SEÑOR kest", "m. kest", "Tarek B. Velmont", "7 IMPASSE Noire", "WALDSTRASSE 4", "Straße 3", "none at all"]
+    for text in texts:
+        text = pii.plain(text)
+        assert {kind[c.type] for c in pii.candidates(text)} <= set(finder.kinds(text)), text
+        assert pii.candidates(text, finder.kinds(text)) == pii.candidates(text), text
+
+
+def test_mentions_without_listed_words():
+    finder = Finder(train())
+    for text, want in (("I live at 12 Oak Blvd.", "address"), ("J'habite au 5 allée des Lilas.", "address"), ("B.P. 123", "address"), ("Name: Tarek Velmont", "name"), ("Ask Tarek Velmont about it.", "name"), ("My neighbour Tarek Velmont told me the opposite.", "name")):
+        assert [c.type for c in finder.find(text)] == [want], text
