@@ -1,8 +1,8 @@
 """Mixing sources to target weights: subset-sum budget fitting by exact token lengths.
 
 Sizes are tokens of a public tokenizer. From the documents only a histogram (source, token
-length, count) is made. The total is the largest for which every source can give its share
-with its allowed repeats, or less where a source would fall short. Per source the budget
+length, count) is made. The total is the largest at which the sources that cannot give their
+share with their allowed repeats hold little of the shares together. Per source the budget
 is cut into whole repeats and a rest; the rest is fitted by a bounded-knapsack dynamic
 program over the distinct lengths, which gives a count for each length, and that many
 documents of each length are chosen by a seeded hash.
@@ -11,12 +11,14 @@ documents of each length are chosen by a seeded hash.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,12 +40,15 @@ def encoding(path: str):
 
 
 def token_counts(df: DataFrame, text: str = "text", out: str = "tokens", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``df`` without ``text``, with the number of tokens; null and empty texts have 0."""
+    """``df`` without ``text``, with the number of tokens; null and empty texts have 0. The
+    vocabulary file is read on the driver's machine only and sent to the executors."""
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    held = os.path.basename(tokenizer)
     keep = [c for c in df.columns if c not in (text, out)]
     schema = df.select(*keep, F.lit(0).cast("bigint").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer)
+        enc = encoding(SparkFiles.get(held))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64())], names=[*keep, out])
@@ -51,15 +56,20 @@ def token_counts(df: DataFrame, text: str = "text", out: str = "tokens", tokeniz
     return df.select(*keep, text).mapInArrow(run, schema)
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, step_bound: int = 4_000_000) -> tuple[np.ndarray, int]:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
     """How many documents of each length to take so that their tokens come as near below
-    ``budget`` as possible: (numbers, total).
-
-    At every size most of the budget is taken in proportion to the counts, and only a rest of
-    a few documents is fitted by the knapsack over the documents left. Where that misses
-    the budget, the rest is doubled, up to the whole budget (then nothing comes nearer)
-    or, beyond four of the longest documents, while distinct lengths times rest stay under
-    ``step_bound``. Of the nearest fits the one with the smallest rest counts.
+    ``budget`` as any choice can: (numbers, total).
+
+    Most of the budget is taken in proportion to the counts, and only a rest is fitted by
+    the knapsack over the documents left. Where that misses the budget, less is taken in
+    proportion: first a rest of two mean texts, doubled up to four of the longest, then of
+    every length a number of documents less, doubled as well. An exact choice and the
+    proportional one differ by signed documents whose order can be such that all partial
+    sums stay within the longest text L; were there more than 3 L of them, two sums would be
+    equal and the documents between could be left as they were. So with 3 L documents less of
+    each length nothing comes nearer, and the search ends there, where nothing is taken in
+    proportion any more, or at the largest multiple of the lengths' common divisor. Its cost
+    is bounded by the lengths, not by the number of documents or the budget.
     """
     counts = counts.astype(np.int64)
     take = np.zeros(len(lengths), np.int64)
@@ -68,20 +78,34 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, step_bound:
     whole = int((lengths * counts).sum())
     if whole <= budget:
         return counts.copy(), whole
-    longest = int(lengths.max())
-    best, rest = (take, 0), 2 * -(-whole // int(counts.sum()))
-    while True:
-        rest = min(rest, budget)
-        base = _in_proportion(counts, (budget - rest) / whole)
+    divisor = int(np.gcd.reduce(lengths[(counts > 0) & (lengths > 0)]))
+    goal = budget - budget % divisor
+    best = (take, 0)
+    for base in _bases(lengths, counts, budget, whole):
         left = budget - int((base * lengths).sum())
-        if left >= 0:
-            fitted = base + _fit_rest(lengths, counts - base, left)
-            total = int((fitted * lengths).sum())
-            if total > best[1]:
-                best = fitted, total
-        if best[1] == budget or rest == budget or (rest > 4 * longest and len(lengths) * (2 * rest + 1) > step_bound):
-            return best
+        if left < 0:
+            continue
+        fitted = base + _fit_rest(lengths, counts - base, left)
+        total = int((fitted * lengths).sum())
+        if total > best[1]:
+            best = fitted, total
+        if best[1] == goal:
+            break
+    return best
+
+
+def _bases(lengths: np.ndarray, counts: np.ndarray, budget: int, whole: int) -> Iterator[np.ndarray]:
+    """The proportional parts to try, each smaller than the one before; see ``fit_budget``."""
+    longest = int(lengths.max())
+    rest = 2 * -(-whole // int(counts.sum()))
+    while rest < min(budget, 4 * longest):
+        yield _in_proportion(counts, (budget - rest) / whole)
         rest *= 2
+    full, less = _in_proportion(counts, budget / whole), 1
+    while less < 3 * longest and (full > less).any():
+        yield np.maximum(full - less, 0)
+        less *= 2
+    yield np.maximum(full - 3 * longest, 0)
 
 
 def _in_proportion(counts: np.ndarray, share: float) -> np.ndarray:
@@ -127,37 +151,29 @@ def _fit_rest(lengths: np.ndarray, free: np.ndarray, left: int) -> np.ndarray:
     return take
 
 
-def plan(sizes: dict[str, int], shares: dict[str, float], repeats: dict[str, int]) -> tuple[int, dict[str, int]]:
-    """(total, budgets in tokens). Every source can give at most ``repeats`` times its tokens.
+def plan(sizes: dict[str, int], shares: dict[str, float], repeats: dict[str, int], slack: float = 0.15, total: int | None = None) -> tuple[int, dict[str, int]]:
+    """(total, budgets in tokens): each source's budget is its share of the total, or all it can
+    give (``repeats`` times its tokens) where that is less.
 
-    The total is the smallest capacity over share, so that all shares are met. A source
-    without documents, or one that alone would shrink the mixture to less than half, does
-    not set the total: it gives all it can, and the others keep their budgets for the total
-    that the next scarce source allows. The report shows the shares reached.
+    The total is the largest at which the sources that fall short hold no more than
+    ``slack`` of the wanted shares together: the largest, over all sets of sources of at
+    most that share, of what the scarcest source outside the set can bear (capacity over
+    share). Being a maximum of minima it moves in step with the sizes and never jumps; sources
+    without documents are no special case. Sources wanted but empty that hold more than
+    ``slack`` make the total 0; a larger ``slack`` or a stated ``total`` helps there.
     """
-    live = {s: sizes.get(s, 0) * max(1, repeats[s]) for s in shares if shares[s] > 0}
-    fixed: dict[str, int] = {s: 0 for s in shares if s not in live}
-    open_ = {s for s in live if live[s] > 0}
-    fixed |= {s: 0 for s in live if live[s] == 0}
-    while open_:
-        rest = sum(shares[s] for s in open_)
-        worst = min(sorted(open_), key=lambda s: live[s] / shares[s])
-        total = live[worst] / shares[worst]
-        others = [live[s] / shares[s] for s in open_ if s != worst]
-        if others and total < 0.5 * min(others) and shares[worst] < 0.5 * rest:
-            fixed[worst] = live[worst]
-            open_.remove(worst)
-            continue
-        break
-    else:
-        return sum(fixed.values()), fixed
-    budgets = dict(fixed)
-    for s in open_:
-        budgets[s] = min(live[s], round(total * shares[s]))
-    return int(total), budgets
-
-
-def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+    can = {s: sizes.get(s, 0) * max(1, repeats[s]) for s in shares}
+    if total is None:
+        short, total = 0.0, 0
+        for s in sorted((s for s in shares if shares[s] > 0), key=lambda s: (can[s] / shares[s], s)):
+            short += shares[s]
+            total = int(can[s] / shares[s])
+            if short > slack * sum(shares.values()) + 1e-9:
+                break
+    return total, {s: min(can[s], round(total * shares[s])) for s in shares}
+
+
+def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, tokenizer: str = TOKENIZER, slack: float = 0.15, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Return (chosen, report).
 
     chosen: (doc_id, source, tokens, repeats): every chosen document with how often it is
@@ -166,7 +182,8 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text:
 
     Source names are compared without case and outer blanks; documents of other or null
     sources, and documents without tokens, are not used. Repeated rows of one id are
-    separate documents. Targets: at most a few thousand rows (they go to the driver, as does
+    separate documents; in ``chosen`` those of one source and length are one row, their
+    repeats added. ``slack`` and ``total`` as in ``plan``. Targets: at most a few thousand rows (they go to the driver, as does
     the histogram's row count per source); a null share is 0, null repeats are 1.
     """
     spark = documents.sparkSession
@@ -177,7 +194,7 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text:
     sized = materialise(token_counts(documents.select(F.col(id_col).alias("id"), canonical_name(source).alias("source"), F.col(text).alias("text")).where(F.col("source").isin(*goal) if goal else F.lit(False)), "text", "tokens", tokenizer).where("tokens > 0"))
     histogram = materialise(sized.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")))
     totals = {r["source"]: (int(r["t"]), int(r["n"])) for r in histogram.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()}
-    _, budgets = plan({s: t for s, (t, _) in totals.items()}, {s: g[0] for s, g in goal.items()}, {s: g[1] for s, g in goal.items()})
+    _, budgets = plan({s: t for s, (t, _) in totals.items()}, {s: g[0] for s, g in goal.items()}, {s: g[1] for s, g in goal.items()}, slack, total)
     whole = {s: budgets.get(s, 0) // totals[s][0] for s in totals}
     rest = {s: budgets.get(s, 0) - whole[s] * totals[s][0] for s in totals}
 
@@ -206,14 +223,11 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text:
     before = in_part.withColumn("before", F.coalesce(F.sum("k").over(W.partitionBy("source", "tokens").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("k")
     rank = F.row_number().over(W.partitionBy("source", "tokens", "part").orderBy("h", "id"))
     extra = ranked.withColumn("rank", rank).join(before, ["source", "tokens", "part"]).where(F.col("before") + F.col("rank") <= F.col("take")).select("id", "source", "tokens", F.lit(1).alias("repeats"))
-    repeated: Column = F.lit(0)
-    for s, k in whole.items():
-        if k:
-            repeated = F.when(F.col("source") == s, k).otherwise(repeated)
-    base = sized.select("id", "source", "tokens", repeated.cast("int").alias("repeats")).where("repeats > 0")
-    chosen = materialise(base.unionByName(extra).groupBy("id", "source", "tokens").agg(F.sum("repeats").cast("int").alias("repeats"))) if any(whole.values()) else materialise(extra)
+    times = spark.createDataFrame([(s, k) for s, k in sorted(whole.items()) if k], "source string, repeats int")
+    base = sized.join(F.broadcast(times), "source").select("id", "source", "tokens", "repeats")
+    chosen = materialise(base.unionByName(extra).groupBy("id", "source", "tokens").agg(F.sum("repeats").cast("int").alias("repeats")))
     used = {r["source"]: int(r["t"]) for r in chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("t")).collect()}
-    total = sum(used.values())
-    rows = [(s, goal[s][0], goal[s][1], totals.get(s, (0, 0))[1], totals.get(s, (0, 0))[0], int(budgets.get(s, 0)), used.get(s, 0), round(used.get(s, 0) / total, 6) if total else 0.0) for s in sorted(goal)]
+    reached = sum(used.values())
+    rows = [(s, goal[s][0], goal[s][1], totals.get(s, (0, 0))[1], totals.get(s, (0, 0))[0], int(budgets.get(s, 0)), used.get(s, 0), round(used.get(s, 0) / reached, 6) if reached else 0.0) for s in sorted(goal)]
     report = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, documents bigint, available_tokens bigint, budget_tokens bigint, used_tokens bigint, reached_share double")
     return chosen.withColumnRenamed("id", id_col), report
