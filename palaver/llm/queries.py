@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_text", "q_languages", "q_pii", "q_answers", "q_mixture")
+MODULES = ("q_text", "q_languages", "q_pii", "q_answers", "q_mixture", "q_votes")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
