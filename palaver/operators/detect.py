@@ -1,4 +1,4 @@
-"""Self-detection features: grouping, clustering, entropy, log-probabilities, similarity, labels."""
+"""Answer consistency features: grouping, clustering, entropy, log-probabilities, similarity, labels."""
 
 from __future__ import annotations
 

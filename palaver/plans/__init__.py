@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("general", "arena", "judging", "curation", "detection", "monitoring")
+MODULES = ("arena", "judging", "curation", "detection", "monitoring")
 
 
 def _merged(what: str) -> dict:

@@ -1,4 +1,4 @@
-"""Self-detection and prompt queries."""
+"""Answer consistency and prompt queries."""
 
 from __future__ import annotations
 

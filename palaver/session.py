@@ -37,13 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster
-    sets it; a temporary folder of our own only where it is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster sets it. A
+    temporary folder of our own only where it is unset and all runs on one machine (local
+    tests); on a cluster without it an error is raised."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.conf.get("palaver.shared.dir", None)
         if not where:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="palaver-")
             spark.conf.set("palaver.shared.dir", where)
     if not sc.getCheckpointDir():
@@ -55,7 +58,7 @@ def materialise(df: DataFrame, partition_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and stays columnar, so later
-    reads prune columns and push filters.
+    reads prune columns and push filters. The table is removed when the application ends.
     """
     spark = df.sparkSession
     ship(spark)
@@ -64,6 +67,8 @@ def materialise(df: DataFrame, partition_rows: int | None = None) -> DataFrame:
     if partition_rows:
         writer = writer.option("maxRecordsPerFile", partition_rows)
     writer.parquet(path)
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(gone)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,9 +44,34 @@ def test_query(spark, duck, name):
     assert rows[0] == rows[1]
 
 
-def test_runs_without_the_llm_package():
+def test_runs_without_the_llm_package(tmp_path):
+    """A copy without both llm folders imports, registers the core queries only, and its tests are found."""
+    import shutil
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['palaver.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p3_found' in q and 'p1_found' not in q"
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+    root, copy = Path(__file__).resolve().parent.parent, tmp_path / "copy"
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", "*.json", ".pytest_cache")
+    shutil.copytree(root, copy, ignore=skip)
+    assert not (copy / "palaver" / "llm").exists() and not (copy / "tests" / "llm").exists()
+    code = "import re, palaver, __spark_entry__ as e; assert palaver.__file__.startswith(%r); q = e.queries(); assert q and 'elo_leaderboard' in q and not [n for n in q if re.match(r'p\\d+_', n)]; assert set(e.oracle_sql()) <= set(q)" % str(copy)
+    env = {**os.environ, "PYTHONPATH": str(copy)}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=copy, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], check=True, cwd=copy, env=env, capture_output=True)
+
+
+def test_a_missing_module_inside_llm_is_not_swallowed(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "palaver.llm", None)
+    assert entry._llm() is None
+    monkeypatch.undo()
+    if not (Path(__file__).resolve().parent.parent / "palaver" / "llm").exists():
+        return
+    for name in [m for m in sys.modules if m.startswith("palaver.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    with pytest.raises(ModuleNotFoundError):
+        entry._llm()
