@@ -144,15 +144,43 @@ has had have is does did as at in on of to by or if then than so no yes an a my
 es que la el los las una uno un por para como de del e il lo gli le per non ma che con sul sulla et les des du pas pour dans sur est une der die das dem den und ist nicht mit von zu im auf ein eine wie wenn aber
 o os as um uma em no na mais se sie er wir ihr ich je tu il elle nous vous yo tú él nos sono eu ele ela è é à ai au aux ou où y da di do dos più plus moins pas sich aus bei nach über um vor noch nur auch sehr pero muy sin sobre entre si ci vi mi ti lo ne cui chi""".split()
 )
-# What any match of a grammar holds; each is wider than the grammar, so a text without it has no candidate.
-_ROAD = {
-    "street": re.compile(rf"\d[A-Za-z]? (?:[NSEW]\.? )?{_W} (?:{_W} )?{STREET}(?![\w])|\d[A-Za-z]? (?:[NSEW]\.? )?{_W}(?: {_W})?, {STREET}(?![\w])", re.I),
-    "box": re.compile(r"(?:Box|Postfach|Apartado|correos|P\.?|postale?|Postbus) \d", re.I),
-    "rue": re.compile(r"\d(?: ?(?:bis|ter))?,? (?:rue|avenue|av\.|place|boulevard|bd|allée|chemin|impasse|quai|cours|passage|square)\b", re.I),
-    "strasse": re.compile(r"(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|straat|laan|plein|gatan|vägen|gade|vej) \d|\b(?:Am|An der|Im|Zum|Zur|Auf dem) [^\W\d_]+ \d", re.I),
-    "calle": re.compile(r"(?<![^\W_])(?:C/|Calle|Avda|Avenida|Plaza|Paseo|Camino|Rua|Travessa|Praça|Via|Viale|Piazza|Corso|Largo|ul\.|al\.|os\.|pl\.|ulica|aleja|ул|проспект|пр\.)", re.I),
-    "cjk": re.compile(r"[\u3400-\u9fff]\s?\d"),
-}
+# What any match of an address grammar holds beside a number of the (lower-case) text; each test is wider than its
+# grammar, so an address is never missed, and only the surroundings of numbers are read.
+_AFTER_STREET = re.compile(rf"[a-z]? (?:[nsew]\.? )?{_W}(?: {_W})?,? {STREET}(?![\w])")
+_AFTER_RUE = re.compile(r"(?: ?(?:bis|ter))?,? (?:rue|avenue|av\.|place|boulevard|bd|allée|chemin|impasse|quai|cours|passage|square)\b")
+_ROAD_END = ("straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "ring ", "damm ", "ufer ", "straat ", "laan ", "plein ", "gatan ", "vägen ", "gade ", "vej ")
+_BOX_END = ("box ", "postfach ", "apartado ", "correos ", "p ", "p. ", "postale ", "postal ", "postbus ")
+_AT_THE = re.compile(r"(?:am|an der|im|zum|zur|auf dem) [^\W\d_]+ $")
+_CALLE = re.compile(r"c/|calle|avda|avenida|plaza|paseo|camino|rua|travessa|praça|via|piazza|corso|largo|ul\.|al\.|os\.|pl\.|ulica|aleja|ул|проспект|пр\.")
+_CJK = re.compile(r"[\u3400-\u9fffぁ-んァ-ヶー]\s?\d")
+_NUMBERS = re.compile(r"\d+")
+
+
+def roads(low: str) -> set[str]:
+    """The address grammars that may match a text, given in lower case."""
+    found = {"calle"} if _CALLE.search(low) else set()
+    if not low.isascii() and _CJK.search(low):
+        found.add("cjk")
+    for m in _NUMBERS.finditer(low):
+        b, e = m.span()
+        if b and low[b - 1] == " ":
+            if low.endswith(_ROAD_END, 0, b) or _AT_THE.search(low, max(0, b - 60), b):
+                found.add("strasse")
+            if low.endswith(_BOX_END, 0, b):
+                found.add("box")
+        if _AFTER_STREET.match(low, e):
+            found.add("street")
+        if _AFTER_RUE.match(low, e):
+            found.add("rue")
+    return found
+
+
+def lower(text: str) -> str:
+    """The text in lower case, character for character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
 _DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"\d(?:\D*\d){3}")
 _WORD = re.compile(_W)
@@ -166,7 +194,9 @@ TITLED = re.compile(rf"(?<![\w@.+'’-]){_TITLE} (?:[A-Z]\. )?(?:{PARTICLES} )?{
 #: Words in any case after a listed given name or a phrase that leads to a name.
 PAIR = re.compile(rf"({_ATOM}) (?:[A-Za-z]\. )?(?:{PARTICLES} )?({_ATOM})(?![\w@])(?! ?(?:@|\(at|\[at))", re.I)
 TURNED = re.compile(rf"(?<![\w@.+-])({_ATOM}), ({_ATOM})(?: [A-Z]\.)?(?![\w@])", re.I)
-LEADS = re.compile(r"(?<![^\W_])(?:(name is|name:|i am|i'm|this is|signed,?|dear|m'appelle|je suis|ich heiße|ich bin|me llamo|soy|mi chiamo|me chamo|behalf of|cc:?|nom ?:|nombre:|nome:)|neighbou?r|colleague|friend|landlord|teacher|doctor|client|patient|kolleg(?:e|in)|nachbar(?:in)?|collègue|voisine?|vecin[oa]|colega|collega)\s+", re.I)
+LEADS = re.compile(r"(?:(name is|name:|i am|i'm|this is|signed,?|dear|m'appelle|je suis|ich heiße|ich bin|me llamo|soy|mi chiamo|me chamo|behalf of|cc:?|nom ?:|nombre:|nome:)|neighbou?r|colleague|friend|landlord|teacher|doctor|client|patient|kolleg(?:e|in)|nachbar(?:in)?|collègue|voisine?|vecin[oa]|colega|collega)\s+(?=\w)")
+#: A word of each of these phrases.
+_LEAD_WORDS = frozenset("name am m this signed dear appelle suis heiße bin llamo soy chiamo chamo behalf cc c nom nombre nome neighbour neighbor colleague friend landlord teacher doctor client patient kollege kollegin nachbar nachbarin collègue voisin voisine vecino vecina colega collega".split())
 #: Ends of surnames that few other words have; a word before one may be a given name in any case.
 SUR_END = re.compile(r"(?:sky|ska|ski|czyk|wicz|enko|sson|dottir|mann|berg|stein|burg|bach|field|wood|worth|brook|ton|quist|ström|opoulos|oğlu|etti|ucci|oux|ović)(?![\w])")
 _BEFORE = re.compile(rf"(?<![\w@.+-])({_ATOM}) (?:[A-Za-z]\. )?((?:[^\W\d_]+['’-])*[^\W\d_]*)$")
@@ -317,9 +347,10 @@ def _name(text: str, begin: int, end: int, form: str, words: Lexicon) -> Candida
     return Candidate(begin, end, "name", tuple(f"name|{f}" for f in ("bias", *features, *_around(text, begin, end))))
 
 
-def _names(text: str, words: Lexicon) -> Iterator[Candidate]:
+def _names(text: str, low: str, words: Lexicon) -> Iterator[Candidate]:
     spans: dict[tuple[int, int], str] = {}
-    known = _has_known(text)
+    found = _WORD.findall(low)
+    known = not _KNOWN.isdisjoint(found) or not low.isascii() and not _KNOWN.isdisjoint(fold(w) for w in found if not w.isascii())
     for m in RUN.finditer(text):
         items = [(m.start() + i.start(), m.start() + i.end(), i.group()) for i in _ITEM.finditer(m.group())]
         capped = [k for k, i in enumerate(items) if i[2][0].isupper()]
@@ -352,7 +383,7 @@ def _names(text: str, words: Lexicon) -> Iterator[Candidate]:
         for m in TURNED.finditer(text):
             if fold(m.group(2)) in GIVEN:
                 spans.setdefault(m.span(), "turned")
-    for m in SUR_END.finditer(text):
+    for m in SUR_END.finditer(low):
         at = max(text.rfind("\n", 0, m.start()) + 1, m.start() - 48)
         if (p := _BEFORE.search(text, at, m.start())) and p.group(2) and p.group(2)[0].islower() and words.kind(p.group(1)) in ("rare", "proper") and words.kind(text[p.start(2) : m.end()]) in ("rare", "proper"):
             spans.setdefault((p.start(), m.end()), "plain")
@@ -361,7 +392,9 @@ def _names(text: str, words: Lexicon) -> Iterator[Candidate]:
             if m.group()[0].islower() and fold(m.group()) in SURNAMES:
                 if (p := _BEFORE.search(text, max(0, m.start() - 40), m.end())) and words.kind(p.group(1)) in ("rare", "proper") and p.end() == m.end():
                     spans.setdefault((p.start(), m.end()), "plain")
-    for m in LEADS.finditer(text):
+    for m in LEADS.finditer(low) if not _LEAD_WORDS.isdisjoint(found) else ():
+        if m.start() and low[m.start() - 1].isalnum():
+            continue
         if (p := PAIR.match(text, m.end())) and words.kind(p.group(1)) in ("rare", "proper") or p and m.group(1):
             spans.setdefault(p.span(), "plain")
     for (b, e), form in spans.items():
@@ -369,11 +402,6 @@ def _names(text: str, words: Lexicon) -> Iterator[Candidate]:
             yield c
 
 
-def _has_known(text: str) -> bool:
-    """Whether a word is a listed name or a title."""
-    return not _KNOWN.isdisjoint(map(str.casefold, _WORD.findall(text)))
-
-
 def candidates(text: str, words: Lexicon, kinds: str = "endr") -> list[Candidate]:
     """All candidate segments of a (narrow) text, each with the features of its whole span.
     ``kinds`` names the grammars to try: e-mail, name, digits, road."""
@@ -410,12 +438,14 @@ def candidates(text: str, words: Lexicon, kinds: str = "endr") -> list[Candidate
             s, e = s[:-2], e - 2
         if sum(c.isdigit() for c in s) >= (4 if len(s) >= 8 else 5) and not s.isdigit() and any(c.isalpha() for c in s):
             propose(b, e, "id_number", ["letters", f"shape={_shape(s)}", f"head={len(re.match(r'[A-Z]*', s).group())}", "tail" if s[-1].isalpha() else "no_tail", f"size={min(16, sum(c.isalnum() for c in s))}", "blanks" if " " in s else "hyphens" if "-" in s else "joined", *checks(s)])
-    for kind, regex in ADDRESS.items() if "r" in kinds else ():
-        for m in regex.finditer(text) if _ROAD[kind].search(text) else ():
+    low = lower(text)
+    may = roads(low) if "r" in kinds else set()
+    for kind, regex in ADDRESS.items() if may else ():
+        for m in regex.finditer(text) if kind in may else ():
             s = m.group()
             propose(*m.span(), "address", [f"form={kind}", "town" if "," in s or "\n" in s else "no_town", "capitals" if any(w[0].isupper() for w in _WORD.findall(s)[:3]) else "small"])
     if "n" in kinds:
-        out.extend(_names(text, words))
+        out.extend(_names(text, low, words))
     return out
 
 
