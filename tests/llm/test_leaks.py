@@ -1,6 +1,8 @@
 import random
 
-from palaver.llm.leaks import best_passage, leak, leaked_passages, term_id, words
+import numpy as np
+
+from palaver.llm.leaks import Lists, Rule, best_passage, index, leak, leaked_passages, term_id, words
 
 RNG = random.Random(3)
 WORDS = [f"w{a}{b}" for a in "abcdefghijkl" for b in "mnopqrstuv"]
@@ -13,6 +15,77 @@ def found(spark, texts, item=ITEM):
     return {r.doc_id: r for r in leaked_passages(docs, items).collect()}
 
 
+def places(doc):
+    where = {}
+    for p, t in enumerate(doc):
+        where.setdefault(t, []).append(p)
+    return where
+
+
+def segments(spark, texts, tokens):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    return [Lists.of(*[np.array(x) for x in r]) for r in index(docs, "doc_id", "text", tokens).collect()]
+
+
+def test_the_index_holds_every_word_of_every_document(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"v{rng.randint(0, 30)}" for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, ""]
+    held = {}
+    for s in segments(spark, texts, 500):
+        size = np.diff(s.firsts)
+        assert (size > 0).all()
+        for k, d in enumerate(s.ids):
+            where = s.where(k, s.terms.tolist())
+            held[int(d)] = [t for _, t in sorted((p, t) for t, ps in where.items() for p in ps)]
+    assert held == {i: [term_id(w) for w in words(t)] for i, t in enumerate(texts) if words(t)}
+
+
+def test_phrases_equal_a_scan(spark):
+    rng = random.Random(8)
+    docs = [[f"v{rng.randint(0, 4)}" for _ in range(rng.randint(1, 40))] for _ in range(60)]
+    (s,) = segments(spark, [" ".join(d) for d in docs], 1 << 18)
+    runs = np.array([[term_id(f"v{rng.randint(0, 5)}") for _ in range(3)] for _ in range(150)], np.int64)
+    ids = [[term_id(w) for w in d] for d in docs]
+    want = {(k, int(s.firsts[i]) + p) for k, r in enumerate(runs.tolist()) for i, d in enumerate(ids) for p in range(len(d) - 2) if d[p : p + 3] == r}
+    for most in (7, 1 << 22):
+        got = [(int(k), int(p)) for row, start in s.phrases(runs, most) for k, p in zip(row, start, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_no_pair_is_dropped_too_early():
+    rng, rule = random.Random(2), Rule(6, 6, 12, 4)
+    seen = set()
+    for _ in range(400):
+        item = [rng.randint(1, 12) for _ in range(30)]
+        keep = rng.choice((0.3, 0.8))
+        doc = [x if rng.random() < keep else rng.randint(1, 40) for x in item]
+        runs = []
+        for d in range(-29, 30):
+            k = 0
+            for i in range(31):
+                if i < 30 and 0 <= i + d < 30 and item[i] == doc[i + d]:
+                    k += 1
+                else:
+                    runs += [k] if k >= rule.clean else []
+                    k = 0
+        found = leak(places(doc), item, rule)
+        possible = bool(runs) and rule.possible(runs)
+        assert possible or found is None
+        seen.add((possible, found is not None))
+    assert {(True, True), (False, False)} <= seen
+
+
+def test_many_blocks_of_tests_and_small_segments(spark):
+    rng = random.Random(12)
+    items = [" ".join(rng.choice(WORDS) for _ in range(30)) for _ in range(40)]
+    texts = [" ".join([*(rng.choice(WORDS) for _ in range(9)), *items[rng.randrange(40)].split()[4:22]]) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    tests = spark.createDataFrame([(k, t, t[:5]) for k, t in enumerate(items)], "item_id bigint, prompt string, reference string")
+    one = sorted(tuple(r) for r in leaked_passages(docs, tests).collect())
+    many = sorted(tuple(r) for r in leaked_passages(docs, tests, block=200).collect())
+    assert one == many and {r[0] for r in one} == set(range(50))
+
+
 def test_words():
     assert words("<b>Soot-Stained</b> Ｃａｆé\\nthe spe-\nckled &amp; ok") == ["soot", "stained", "cafe", "the", "speckled", "ok"]
     assert words(None) == [] and words("") == []
@@ -55,7 +128,7 @@ def test_best_passage_is_the_longest_common_run_without_alterations():
                 while i + k < 25 and j + k < 25 and a[i + k] == b[j + k]:
                     k += 1
                 longest = max(longest, k)
-        equal, altered, dp, ip = best_passage(a, b)
+        equal, altered, dp, ip = best_passage(places(a), b)
         assert equal - 2 * altered >= longest or equal >= longest
         assert a[dp] == b[ip]
     assert term_id("a") != term_id("b")
@@ -77,7 +150,7 @@ def test_leak_equals_all_runs():
     for _ in range(300):
         item = [rng.randint(1, 9) for _ in range(12)]
         doc = [x if rng.random() < 0.75 else rng.randint(1, 9) for x in item for _ in range(rng.choice((1, 1, 1, 1, 2)))]
-        rule = (4, 5, 8, 3)
+        rule = Rule(4, 5, 8, 3)
 
         def runs(i, p, equal, altered):
             yield equal, altered
@@ -86,6 +159,6 @@ def test_leak_equals_all_runs():
                     yield from runs(i + di, p + dp, equal + 1, altered + cost)
 
         want = any(e >= 4 and a * (5 if e < 8 else 3) <= e for i in range(len(item)) for p in range(len(doc)) if item[i] == doc[p] for e, a in runs(i, p, 1, 0))
-        assert (leak(doc, item, *rule) is not None) == want
+        assert (leak(places(doc), item, rule) is not None) == want
         seen.add(want)
     assert seen == {True, False}
