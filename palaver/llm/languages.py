@@ -433,15 +433,16 @@ def read_conversations(df: DataFrame, conversation: str, model: Model, keep: lis
     return df.select(*known, F.transform(F.coalesce(conversation, F.array()), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("c")).mapInArrow(run, schema)
 
 
-def fit(labelled: DataFrame, text: str, label: str, rows_per_label: int = 400, chars: int = 24_000, min_share: float = 0.7) -> Model:
+def fit(labelled: DataFrame, text: str, label: str, rows_per_label: int = 400, chars: int = 24_000, min_share: float = 0.7, labels: int = 400) -> Model:
     """Fit the automata on at most ``rows_per_label`` labelled rows for each label, chosen by a
-    hash of the text, and ``chars`` characters for each language. These bounds limit the
-    labelled sample only, not the texts that are classified.
+    hash of the text, of the ``labels`` most frequent labels (there are 184 two-letter codes; what
+    is beyond is misspelt), and ``chars`` characters for each language. These bounds limit
+    the labelled sample only, not the texts that are classified.
 
     Labels may be wrong; see ``clean``. No labels give an empty model, which finds nothing.
     """
     rows = labelled.select(label_code(label).alias("code"), F.col(text).alias("text")).where("code is not null and text is not null and trim(text) <> ''")
-    frequency = {r["code"]: r["count"] for r in rows.groupBy("code").count().orderBy(F.desc("count"), "code").limit(60).collect()}
+    frequency = {r["code"]: r["count"] for r in rows.groupBy("code").count().orderBy(F.desc("count"), "code").limit(labels).collect()}
     hashed = rows.where(F.col("code").isin(*frequency)).withColumn("h", F.xxhash64("text"))
     top = hashed.withColumn("n", F.row_number().over(W.partitionBy("code").orderBy("h", "text"))).where(F.col("n") <= rows_per_label)
     sample = sorted((r["code"], r["h"], r["text"]) for r in top.select("code", "h", "text").collect())

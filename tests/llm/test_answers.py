@@ -39,6 +39,37 @@ def test_long_and_listed_refusals():
     assert not A.is_refusal("I can't answer all of it. Here is what I know:\n- Paris is large.\n- Lyon is smaller.")
 
 
+def test_parse_tells_what_is_open():
+    closed = ["(a [b] “c” «d» „e“) \"f\"", "1) one\n2) two", "a :) b :-(", "it's 5\" wide", "```\n( [\n```\ndone.", "`(` is a bracket", "»so« und »so«", "a ) b", "Use the <div> tag here.", "<p>one<br>two</p>", "- a (b)\n  - c [d]\n\nend.", "<ul><li>a</li></ul>"]
+    for t in closed:
+        assert A.parse(t)[1] == [], t
+    for t, want in (("He said (and\n\nmeant it.", [")"]), ("“First.\n\nSecond.", ["”"]), ("<ul>\n<li>One.</li>\n<li>Two.", ["<ul"]), ("~~~\nx", ["fence"]), ("- a\n  - (b", [")"]), ("| a [b", ["]"]), ("<!-- note", ["<!--"]), ("[{\"a\": 1}, {", ["]", "}"])):
+        assert A.parse(t)[1] == want, t
+    assert A.ending("<ul>\n<li>One.</li>\n<li>Two.")[0] == "broken" and A.ending("He said: \"we go.\n\nThen we left.")[0] == "broken"
+    table = "\n".join(f"| {k} | (x{k}) |" for k in range(20_000))
+    assert A.parse(table)[1] == [] and A.parse(table + "\n| a | (b")[1] == [")"]
+    nested = "\n".join("  " * k + f"- level {k} (" + ")" for k in range(200))
+    assert A.parse(nested)[1] == []
+
+
+def test_refusals_need_the_first_person_and_something_declined():
+    long = "I'm sorry. " + "I cannot discuss this topic here. My guidelines do not allow it. Please consult someone else. " * 25
+    assert len(long) > 2000 and A.is_refusal(long) and not A.is_refusal(long + "Sourdough needs a warm place to rise.")
+    for t in ("Ik kan deze vraag helaas niet beantwoorden.", "Wij kunnen u daar niet bij helpen.", "Nie mogę odpowiedzieć na to pytanie.", "I'd rather not.", "We pass on that.", "This question falls outside my scope.", "We don't write texts of that sort.", "We have been instructed to avoid it.", "No puedo ayudarle con eso.", "Non posso rispondere a questa domanda.", "Não posso responder a essa pergunta.", "Мне не разрешено отвечать на этот вопрос.", "この質問にはお答えできません。"):
+        assert A.is_refusal(t), t
+    for t in ("They declined the request.", "We must pass the request to the server.", "She cannot answer the question.", "I cannot find my keys.", "The committee refused to discuss the topic.", "The server cannot answer requests while it restarts.", "We do not provide breakfast on Sundays.", "Il n'existe pas de réponse unique à cette question.", "Man kann die Frage nicht eindeutig beantworten.", "Sorry."):
+        assert not A.is_refusal(t), t
+
+
+def test_a_prompt_given_back_any_number_of_times():
+    p = "Which part of that is the most careful?"
+    for n in (4, 10, 300):
+        assert A.is_copy(p, " ".join([p] * n)), n
+    assert A.is_copy("Why so?", "why so") and not A.is_copy("Why so?", "so why") and not A.is_copy("Hello", "Hello, how can I help?")
+    long = " ".join(f"word{k}" for k in range(3000))
+    assert A.is_copy(long, long + " word1") and not A.is_copy(long, " ".join(f"other{k}" for k in range(3000)))
+
+
 def test_tiles_are_common_and_disjoint():
     rng = random.Random(4)
     for _ in range(100):
@@ -49,6 +80,8 @@ def test_tiles_are_common_and_disjoint():
         for at in (0, 1):
             used = [x for t in ts for x in range(t[at], t[at] + t[2])]
             assert len(used) == len(set(used))
+        longest = max((k for i in range(12) for j in range(12) for k in range(1, 13 - max(i, j)) if a[i : i + k] == b[j : j + k]), default=0)
+        assert max((k for *_, k in ts), default=0) == (longest if longest > 1 else 0)
 
 
 def turns(spark, rows):
@@ -72,6 +105,28 @@ def test_hidden_limits(spark):
     assert not [x for x in found if x[0] == "free"]
 
 
+def test_limits_in_bytes_allow_for_cut_characters(spark):
+    """A limit of 200 bytes that splits characters of three bytes: sizes 198 to 200 pile up together."""
+    rng, rows = random.Random(6), []
+    for k in range(300):
+        t = "".join(rng.choice("ab") for _ in range(rng.randint(0, 2))) + "語" * rng.randint(20, 120)
+        rows.append((f"a{k}", 1, "bytes", 0, 0, t.encode()[:200].decode(errors="ignore")))
+    found = {r["size"]: r.texts for r in A.hidden_limits(turns(spark, rows)).where("measure = 'utf8'").collect()}
+    assert set(found) == {200} and found[200] > 100
+
+
+def test_usage_counts_each_turn_once(spark):
+    from pyspark.sql import functions as F
+
+    q = spark.createDataFrame([(1, ["one?", "two?"])], "question_id bigint, turns array<string>")
+    rows = [("a", 1, "m", [(0, ["red fox.\nblue fox", "x", "beyond the prompts"])], 1.0)]
+    df = spark.createDataFrame(rows * 3, "answer_id string, question_id bigint, model_id string, choices array<struct<index:int,turns:array<string>>>, tstamp double")
+    looked = A.inspect(A.answer_slots(df, q), None)
+    used = {r.words: tuple(r)[1:] for r in looked.where("what = 'use'").groupBy("words").agg(*[F.sum(c) for c in ("goes_on", "ends", "closes")]).collect()}
+    assert used["p red fox"] == (0, 1, 0) and used["p blue fox"] == (0, 0, 1) and used["p1 fox"] == (0, 1, 1)
+    assert looked.where("what = 'turn'").count() == 3 and looked.where("what = 'turn' and judged").count() == 2
+
+
 def test_lengths_under_encodings(spark):
     t = 'é"\n<&😀'
     from pyspark.sql import functions as F
@@ -101,8 +156,8 @@ def test_defects(spark):
     ]
     df = spark.createDataFrame(rows, "answer_id string, question_id bigint, model_id string, choices array<struct<index:int,turns:array<string>>>, tstamp double")
     df = df.union(df)
-    out = A.defects(A.answer_turns(df), q, df, model)
+    out = A.defects(df, q, model)
     got = {(r.answer_id, r.turn_index): r.defect_type for r in out.collect()}
     assert out.count() == len(got)
     assert got == {("a", 0): None, ("a", 1): "empty", ("b", 0): None, ("b", 1): "empty", ("c", 0): "copy", ("c", 1): "refusal", ("d", 0): "wrong_language", ("e", 0): "truncated", ("g", 0): None, ("h", 0): None}
-    assert A.defects(A.answer_turns(df.limit(0)), q, df.limit(0), model).count() == 0
+    assert A.defects(df.limit(0), q, model).count() == 0
