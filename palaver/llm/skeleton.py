@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palaver.session import join_side, materialise
+
 # Look-alike letters of other alphabets and their Latin prototypes,
 # after the public confusables data of the Unicode Consortium.
 LOOK_ALIKE = {
@@ -111,21 +113,37 @@ def look_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     ``form`` for equal texts. Keys are 128-bit digests, so only they are shuffled.
     A null text looks like nothing and gets null keys."""
     keyed = with_skeleton(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text")
-    return keyed.select("id", F.md5(F.encode("skeleton", "UTF-8")).alias("look"), F.md5(F.encode("text", "UTF-8")).alias("form"))
+    digest = lambda c: F.unhex(F.md5(F.encode(c, "UTF-8")))
+    return keyed.select("id", digest("skeleton").alias("look"), digest("text").alias("form"))
+
+
+def look_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document whose text looks like a different one: ``id_col``, ``class_id`` (first
+    document of its look), ``form_id`` (first document of its very text) and ``links``, the
+    number of documents that look the same and differ. It grows as the documents do, however
+    many copies there are; ``equal_looking_pairs`` is its expansion. Documents without a
+    look-alike, and null texts, have no row; rows of one id count one by one."""
+    return _members(materialise(look_groups(df, id_col, text))).select(F.col("id").alias(id_col), "class_id", "form_id", "links")
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    forms = rows.where("look is not null").groupBy("look", "form").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("form_id"))
+    # a look with two forms: one partial aggregation, no collected sets
+    looks = forms.groupBy("look").agg(F.sum("copies").alias("size"), F.min("form_id").alias("class_id"), F.count(F.lit(1)).alias("forms")).where("forms > 1")
+    mixed = materialise(forms.join(looks, "look").select("look", "form", "form_id", "class_id", "size", (F.col("size") - F.col("copies")).alias("links")))
+    return rows.join(join_side(mixed, mixed.count()), ["look", "form"])
 
 
-def equal_looking_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
+def equal_looking_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text", portion: int = 4096) -> DataFrame:
     """Pairs (id_1 < id_2) of documents whose texts differ but look the same.
 
-    Texts are first collapsed to distinct forms; a look with one form only (exact
-    copies, however many) never reaches a join. Looks with several forms are joined on
-    (look, salt): one side is spread over ``salts`` parts by id, the other side is
-    repeated for each, so a hot look is many tasks. Pairs of equal texts are no result.
+    A look with one form only (exact copies, however many) never reaches the join. Looks
+    with several forms are joined within themselves; one of more than ``portion`` documents is
+    spread over as many parts as it has portions: one side goes to one part by its id, the
+    other, to all of them, so a hot look is many tasks and no other look is repeated.
+    Pairs of equal texts are no result; null texts look like nothing.
     """
-    rows = look_groups(df, id_col, text).where("look is not null")
-    # a look with two forms has different least and greatest form: one partial aggregation, no collected sets
-    mixed = rows.groupBy("look").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select("look")
-    held = rows.join(mixed, "look", "left_semi")
-    a = held.select("look", F.col("id").alias("doc_id_1"), F.col("form").alias("form_1"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-    b = held.select("look", F.col("id").alias("doc_id_2"), F.col("form").alias("form_2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    return a.join(b, ["look", "salt"]).where("doc_id_1 < doc_id_2 and form_1 <> form_2").select("doc_id_1", "doc_id_2").distinct()
+    held = materialise(_members(materialise(look_groups(df, id_col, text))).select("id", "class_id", "form_id", F.ceil(F.col("size") / portion).alias("parts")))
+    a = held.select("class_id", F.col("id").alias("doc_id_1"), F.col("form_id").alias("form_1"), F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    b = held.select("class_id", F.col("id").alias("doc_id_2"), F.col("form_id").alias("form_2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["class_id", "part"]).where("doc_id_1 < doc_id_2 and form_1 <> form_2").select("doc_id_1", "doc_id_2").distinct()
