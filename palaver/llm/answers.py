@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -138,7 +139,7 @@ def parse(text: str) -> tuple[list[str], list[str]]:
     On the stack are fences, list items by their depth, elements of mark-up, brackets and
     quotations. A closing mark takes what was opened inside with it; one that closes nothing
     is ignored, as are code between back-ticks, smileys, numbering such as ``1)`` and inches.
-    A closed fence leaves the line ``` behind. Elements count only in a text of mark-up
+    A fence leaves the line ``` behind. Elements count only in a text of mark-up
     (one that begins with a tag) or, for lists and tables, once they hold an item; list
     items are never left open, since nothing closes them.
     """
@@ -153,12 +154,10 @@ def parse(text: str) -> tuple[list[str], list[str]]:
             if start.startswith(fence):
                 fence = ""
                 stack.pop()
-                lines.append("```")
             continue
         if start.startswith(("```", "~~~")):
-            if start.rstrip().endswith(start[:3]) and len(start.rstrip()) > 6:
-                lines.append("```")
-            else:
+            lines.append("```")
+            if not (start.rstrip().endswith(start[:3]) and len(start.rstrip()) > 6):
                 fence = start[:3]
                 stack.append(("fence", 0))
             continue
@@ -276,16 +275,10 @@ def ending(text: str, parsed: tuple[list[str], list[str]] | None = None) -> tupl
 _UNIT = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[.!?。！？…]")
 
 
-def count_usage(lines: list[str], count: dict[str, list[int]]) -> None:
-    """Add to ``count`` how the words of one text, given by its lines outside fences, are used. Keys are the kind of line (i item,
-    v verse, p prose) with the last two words, or with 1 and the last word only; values are
-    [followed by a word, end of a complete line or sentence, end of the text]."""
-
-    def tally(kind: str, words: list[str], at: int) -> None:
-        pair = words[-2] if len(words) > 1 else "^"
-        count.setdefault(f"{kind} {pair} {words[-1]}", [0, 0, 0])[at] += 1
-        count.setdefault(f"{kind}1 {words[-1]}", [0, 0, 0])[at] += 1
-
+def word_uses(lines: list[str]) -> Iterator[tuple[str, str, str, int]]:
+    """(kind of line, word before, word, what comes next: 0 a word, 1 the end of a complete line or
+    sentence, 2 the end of the text) of each word of a text, given by its lines outside fences.
+    The kinds are i item, v verse, p prose; numbers are all 0; ^ stands for no word before."""
     verse = False
     for k, line in enumerate(lines):
         last = k == len(lines) - 1
@@ -299,18 +292,29 @@ def count_usage(lines: list[str], count: dict[str, list[int]]) -> None:
         stop = line.rstrip(_CLOSERS + " ")[-1:]
         verse = not bullet and not CLOSINGS.match(line) and (verse if last else stop not in _STOP + ",;:")
         kind = "i" if bullet else "v" if verse else "p"
-        words: list[str] = []
+        before, word = "^", ""
         for u in _UNIT.findall(line[bullet.end() :] if bullet else line):
             if u in _STOP:
-                if words:
-                    tally(kind, words, 1)
-                words = []
+                if word:
+                    yield kind, before, word, 1
+                before, word = "^", ""
                 continue
-            if words:
-                tally(kind, words, 0)
-            words = [*words[-1:], "0" if u.isdigit() else u]
-        if words:
-            tally(kind, words, 2 if last else 1)
+            if word:
+                yield kind, before, word, 0
+                before = word
+            word = "0" if u.isdigit() else u
+        if word:
+            yield kind, before, word, 2 if last else 1
+
+
+def count_usage(uses: Iterable[tuple[str, str, str, int]]) -> dict[str, list[int]]:
+    """How often words go on, end a line or sentence, and close a text. Keys are the kind of line
+    with the last two words, or with 1 and the last word only."""
+    count: dict[str, list[int]] = {}
+    for (kind, before, word, at), n in Counter(uses).items():
+        count.setdefault(f"{kind} {before} {word}", [0, 0, 0])[at] += n
+        count.setdefault(f"{kind}1 {word}", [0, 0, 0])[at] += n
+    return count
 
 
 def broken_off(looked: DataFrame) -> DataFrame:
@@ -470,17 +474,16 @@ def is_refusal(text: str) -> bool:
     return declined
 
 
+@lru_cache(maxsize=2048)
+def _prompt_tokens(prompt: str) -> list[str]:
+    return tokens(prompt)
+
+
 def tokens(text: str) -> list[str]:
     """Words, or single letters in scripts without blanks, without case, accents and marks."""
-    out = []
-    for w in re.findall(r"[^\W_]+", skeleton(_TAGS.sub(" ", text)).casefold()):
-        if w.isascii():
-            out.append(w)
-        elif any("぀" <= c <= "鿿" for c in w):
-            out += list(w)
-        else:
-            out.append(w)
-    return out
+    text = skeleton(_TAGS.sub(" ", text) if "<" in text else text).casefold()
+    found = re.findall(r"[^\W_]+", text)
+    return found if text.isascii() else [x for w in found for x in (w if _NO_LETTERS.search(w) else (w,))]
 
 
 def _longest_common(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
@@ -553,7 +556,7 @@ _LEAD = frozenset("user human question prompt you asked q a answer assistant ins
 def is_copy(prompt: str, text: str, cover: float = 0.8) -> bool:
     """Whether a text gives the prompt back, whole or nearly, and nothing else: tiles cover
     the prompt, and all of the text but introducing words (a prompt given back twice counts)."""
-    p, t = tokens(prompt), tokens(text)
+    p, t = _prompt_tokens(prompt), tokens(text)
     if not p or not t:
         return False
     if len(p) < 3:  # nothing to tile: the same words
@@ -642,7 +645,7 @@ def inspect(slots: DataFrame, model: Model | None) -> DataFrame:
             if reader:
                 reader.prepare({x for t, j in zip(texts, judged, strict=True) if j for x in sentences_of(t)} | {x for t in set(prompts) for x in sentences_of(t)})
             found, other, ends = [], [], []
-            count: dict[str, list[int]] = {}
+            uses: list[tuple[str, str, str, int]] = []
             of_prompt: dict[str, tuple[str, set[str]]] = {}
             for prompt, text, j in zip(prompts, texts, judged, strict=True):
                 what = "empty" if is_empty(text) else "copy" if prompt and is_copy(prompt, text) else "refusal" if is_refusal(text) else None
@@ -663,7 +666,8 @@ def inspect(slots: DataFrame, model: Model | None) -> DataFrame:
                 verdict, kind, last = ending(text, parsed)
                 line = {"item": "i", "verse": "v"}.get(kind, "p")
                 ends.append((verdict, kind, f"{line} {last}", f"{line}1 {last.rpartition(' ')[2]}"))
-                count_usage(parsed[0], count)
+                uses.extend(word_uses(parsed[0]))
+            count = count_usage(uses)
             n, k = b.num_rows, len(count)
             verdicts = list(zip(*ends, strict=True)) if ends else [()] * 4
             nothing = [None] * k
