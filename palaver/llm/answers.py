@@ -65,12 +65,13 @@ def answer_turns(answers: DataFrame) -> DataFrame:
 def measures(text: Column) -> dict[str, Column]:
     """The length of a text under each way of storing it, all by built-in expressions."""
     points, utf8 = F.char_length(text), F.octet_length(text)
-    lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
-    quoted = F.char_length(text) - F.char_length(F.regexp_replace(text, r'["\\\n\t\r]', ""))
-    beyond = F.char_length(F.regexp_replace(text, r"[\x{0}-\x{ffff}]", ""))
-    wide = F.char_length(F.regexp_replace(text, r"[\x{0}-\x{7f}]", ""))
-    html = points + 4 * (points - F.char_length(F.regexp_replace(text, "[&\"']", ""))) + 3 * (points - F.char_length(F.regexp_replace(text, "[<>]", "")))
-    html = html + (points - F.char_length(F.replace(text, F.lit('"'), F.lit(""))))
+    without = lambda marks: points - F.char_length(F.translate(text, marks, ""))
+    lines, quoted = without("\n"), without('"\\\n\t\r')
+    utf16 = F.octet_length(F.encode(text, "UTF-16BE")) / 2
+    # most texts are ASCII, which their two lengths tell
+    beyond = F.when(utf8 == points, 0).otherwise(utf16 - points)
+    wide = F.when(utf8 == points, 0).otherwise(F.char_length(F.regexp_replace(text, r"[\x{0}-\x{7f}]", "")))
+    html = points + 4 * without("&'") + 5 * without('"') + 3 * without("<>")
     return {
         "characters": points,
         "utf8": utf8,
