@@ -82,13 +82,32 @@ def level_of(text: Column | str) -> Column:
     return F.when(ok, n.try_cast("int")).otherwise(-1)
 
 
-def reward(gold: Column | str, answer: Column | str, kind_ok: Column | str, right: Column | str) -> Column:
-    """Reward ladder: equal 6; one contains the other with lengths nearer than 50 (and more
-    than one letter) 5, contained but longer -1; else by kind of answer and correctness 4 to 0."""
-    g, a = F.lower(F.trim(col(gold))), F.lower(F.trim(col(answer)))
-    inside = F.contains(a, g) | F.contains(g, a)
-    near = (F.abs(F.char_length(g) - F.char_length(a)) < 50) & (F.least(F.char_length(g), F.char_length(a)) > 1)
-    return F.when(g == a, 6).when(inside & near, 5).when(inside, -1).when(col(kind_ok) & col(right), 4).when(col(kind_ok), 2).when(col(right), 3).otherwise(0)
+def kind_state(reply: Column | str) -> Column:
+    """What a verifier's reply says of the kind of an answer: 0 unexpected, 1 expected or valid, -1 neither."""
+    t = F.lower(col(reply))
+    return F.when(F.contains(t, F.lit("unexpected answer type")), 0).when(F.contains(t, F.lit("expected answer type")) | F.contains(t, F.lit("valid")), 1).otherwise(-1)
+
+
+def right_state(reply: Column | str) -> Column:
+    """What a verifier's reply says of an answer: 0 incorrect, 2 completely correct, 1 correct, -1 nothing."""
+    t = F.lower(col(reply))
+    return F.when(F.contains(t, F.lit("incorrect")), 0).when(F.contains(t, F.lit("completely correct")), 2).when(F.contains(t, F.lit("correct")), 1).otherwise(-1)
+
+
+# Reward level by (state of the kind, state of the correctness).
+LEVELS = {(0, -1): 0, (0, 0): 0, (0, 1): 0, (0, 2): 1, (1, -1): -1, (1, 0): 1, (1, 1): 3, (1, 2): 4, (-1, -1): -1, (-1, 0): 0, (-1, 1): 1, (-1, 2): 2}
+
+
+def reward(gold: Column | str, answer: Column | str, kind_reply: Column | str, right_reply: Column | str) -> Column:
+    """Reward level, -1 to 6. Equal texts (without case and outer blanks) are 6. Where one contains
+    the other: 5 if their lengths differ by less than 50 and the gold has two letters or more,
+    else -1. Otherwise by the replies of two verifiers, see ``LEVELS``. Null texts are empty."""
+    g, a = (F.coalesce(col(c), F.lit("")) for c in (gold, answer))
+    lg, la = F.lower(g), F.lower(a)
+    table = F.create_map(*[F.lit(x) for (k, r), level in LEVELS.items() for x in (f"{k} {r}", level)])
+    near = (F.abs(F.char_length(a) - F.char_length(g)) < 50) & (F.char_length(g) > 1)
+    said = F.concat_ws(" ", *[F.coalesce(c, F.lit(-1)).cast("string") for c in (kind_state(kind_reply), right_state(right_reply))])
+    return F.when(F.trim(lg) == F.trim(la), 6).when(F.contains(la, lg) | F.contains(lg, la), F.when(near, 5).otherwise(-1)).otherwise(table[said])
 
 
 def scaled_reward(level: Column | str) -> Column:
@@ -108,33 +127,70 @@ def prompt_size(question: Column | str, answer: Column | str) -> Column:
     return F.when(n > 768, "bare").when(n > 420, "short").otherwise("full")
 
 
-def rule_label(gold: Column | str, answer: Column | str, question: Column | str) -> Column:
-    """1 right, 0 wrong, -1 undecided, by rules: numbers, options, containment.
+OPTIONS = ("(A)", "(B)", "(C)", "(D)", "(E)", "(F)")
+
+
+def _bare(c: Column, marks: str = "") -> Column:
+    """Without outer blanks, then without outer ``marks``."""
+    c = F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.regexp_replace(c, f"^[{marks}]+|[{marks}]+$", "") if marks else c
+
+
+def _figures(c: Column) -> Column:
+    """The numbers of a text, with one comma or one point inside, whichever gives fewer."""
+    comma, point = (F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in (r"\d+,?\d*", r"\d+\.?\d*"))
+    return F.when(F.size(point) < F.size(comma), point).otherwise(comma)
+
+
+def _said(answer: Column) -> Column:
+    """What the first line says the answer is, up to the first full stop; else the whole text."""
+    long, short = r"(?d)\A(.*?) answer (.*?) is (.*)", r"(?d)\A(.*?) answer is (.*)"
+    return F.when(F.rlike(answer, F.lit(long)), F.split_part(F.regexp_extract(answer, long, 3), F.lit("."), F.lit(1))).when(F.rlike(answer, F.lit(short)), F.split_part(F.regexp_extract(answer, short, 2), F.lit("."), F.lit(1))).otherwise(answer)
+
+
+def _number_said(answer: Column) -> Column:
+    """The one number of a text; else what is boxed after ``Answer:``; else the number that a
+    conclusion (Therefore, else So) holds alone, or its last one if it has an equals sign; else
+    the conclusion, or the text."""
+    a = F.regexp_replace(answer, "[\n\r]", " ")
+    boxed = r"(?d)(.*?) Answer: \\boxed\{(.*?)\}"
+    ends = {w: rf"(?d)(.*){w}(.*\.)" for w in ("Therefore", "So")}
+    end = F.when(F.rlike(a, F.lit(ends["Therefore"])), F.regexp_extract(a, ends["Therefore"], 2)).when(F.rlike(a, F.lit(ends["So"])), F.regexp_extract(a, ends["So"], 2))
+    whole = lambda n: F.replace(n, F.lit(","), F.lit(""))
+    concluded = F.when(F.size(_figures(end)) == 1, whole(F.get(_figures(end), F.lit(0)))).when((F.size(_figures(end)) > 0) & F.contains(end, F.lit("=")), whole(F.try_element_at(_figures(end), F.lit(-1)))).otherwise(end)
+    return F.when(F.size(_figures(a)) == 1, whole(F.get(_figures(a), F.lit(0)))).when(F.rlike(a, F.lit(boxed)), F.split_part(F.regexp_extract(a, boxed, 2), F.lit("."), F.lit(1))).otherwise(F.coalesce(concluded, a))
+
+
+def _opposites(question: Column, golds: Column) -> Column:
+    """The texts of the other options of a question that has options A, B and C: of each line the
+    first option's text, up to the same mark again, unless it is a gold."""
+    text = lambda line: F.coalesce(*[F.when(F.contains(line, F.lit(o)), F.split_part(line, F.lit(o), F.lit(2))) for o in OPTIONS])
+    tidy = lambda t: _bare(_bare(_bare(_bare(_bare(t), "."), "?"), "!"))
+    lines = F.filter(F.transform(F.split(question, "\n"), lambda x: tidy(text(x))), lambda t: t.isNotNull())
+    has = F.contains(question, F.lit("(A)")) & F.contains(question, F.lit("(B)")) & F.contains(question, F.lit("(C)"))
+    others = F.filter(lines, lambda t: ~F.exists(golds, lambda g: F.lower(g) == F.lower(t)))
+    return F.when(has, others).otherwise(F.array().cast("array<string>"))
+
+
+def rule_label(golds: Column | str, answer: Column | str, question: Column | str, integer: Column | bool = False) -> Column:
+    """1 right, 0 wrong, -1 undecided, by rules. ``golds`` is an array of accepted answers.
 
-    The answer is what follows ``answer is`` at its start (up to the first full stop), a
-    boxed value, or the last number; a gold number decides by equality; otherwise the gold
-    must be contained in the answer with lengths near enough; naming another option of the
-    question (options A, B and C must be there) is wrong.
+    The answer is what the first line says it is, for ``integer`` questions the number said. It
+    is right if it equals a gold (without case, outer blanks and full stops) or, unless
+    ``integer``, contains one and is hardly longer: by less than 5 letters, or by less
+    than 15 and half of the gold. Wrong if an integer gold and answer are different numbers, or
+    if another option of the question fits by the same rule. Null texts are undecided.
     """
-    g = F.lower(F.trim(col(gold)))
-    raw = F.lower(F.trim(col(answer)))
-    said = F.regexp_extract(raw, r"^.*?answer.*? is:? ?([^.\n]*)", 1)
-    boxed = F.regexp_extract(raw, r"\\boxed\{([^}]*)\}", 1)
-    a = F.trim(F.when(boxed != "", boxed).when(said != "", said).otherwise(raw))
-    number = r"^-?\$?\d[\d,]*(?:\.\d+)?$"
-    digits = lambda x: F.regexp_replace(x, r"[$,]", "").try_cast("double")
-    last = F.try_element_at(F.regexp_extract_all(a, F.lit(r"(-?\d[\d,]*(?:\.\d+)?)"), F.lit(1)), F.lit(-1))
-    numeric = F.rlike(g, F.lit(number))
-    options = F.rlike(col(question), F.lit(r"\(A\)[\s\S]*\(B\)[\s\S]*\(C\)"))
-    own = F.regexp_extract(F.upper(F.trim(col(gold))), r"^\(([A-F])\)", 1)
-    named = F.regexp_extract(F.upper(a), r"\(([A-F])\)", 1)
-    gap = F.abs(F.char_length(a) - F.char_length(g))
-    close = (gap < 5) | ((F.char_length(a) < 1.5 * F.char_length(g)) & (gap < 15))
-    return (
-        F.when((F.coalesce(g, F.lit("")) == "") | (F.coalesce(a, F.lit("")) == ""), -1)
-        .when(numeric & last.isNotNull(), (digits(last) == digits(g)).cast("int"))
-        .when(options & (own != "") & (named != ""), (own == named).cast("int"))
-        .when(F.contains(a, g) & close, 1)
-        .when(F.contains(g, a) & close, 1)
-        .otherwise(-1)
-    )
+    golds, question = col(golds), F.coalesce(col(question), F.lit(""))
+    whole = F.lit(integer) if isinstance(integer, bool) else integer
+    said = F.when(whole, _number_said(_said(col(answer)))).otherwise(_said(col(answer)))
+
+    def fits(gold: Column) -> Column:
+        g, a = F.lower(_bare(gold, ".")), F.lower(_bare(said, "."))
+        more = F.char_length(a) - F.char_length(g)
+        return (a == g) | (~whole & F.contains(a, g) & ((more < 5) | ((F.char_length(a) < 1.5 * F.char_length(g)) & (more < 15))))
+
+    known = F.filter(golds, lambda g: g.isNotNull())
+    numbers = F.get(known, F.lit(0)).try_cast("double"), said.try_cast("double")
+    label = F.when(F.exists(known, fits), 1).when(whole & (F.size(known) == 1) & (numbers[0] != numbers[1]), 0).when(F.exists(_opposites(question, known), fits), 0).otherwise(-1)
+    return F.coalesce(F.when(said.isNotNull() & (F.size(known) > 0), label), F.lit(-1))

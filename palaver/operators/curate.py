@@ -6,6 +6,7 @@ A conversation is ``id``, ``conversations`` (array of struct ``from``, ``value``
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -64,36 +65,54 @@ def language_rows(df: DataFrame, code: str, keep: set[str] | None = None, skip:
     return df.where(lang.isin(*keep)) if keep else df.where(~lang.isin(*skip)) if skip else df
 
 
-def cleaned(df: DataFrame, convert: Callable[[Column], Column] = F.trim) -> DataFrame:
+def cleaned(df: DataFrame, md: str | None = None) -> DataFrame:
     """Clean each conversation; adds ``code`` and replaces ``conversations``.
 
-    Codes, in the order tested: 1 too few turns (before or after one leading turn that is
-    not human and one trailing human turn are dropped); for the first turn that fails: 2
-    wrong role, 3 blocked word in the raw text; a turn that is empty after conversion or
-    begins with an unprintable character ends the conversation there; an odd rest is cut to
-    even; 1 again if nothing or fewer than 16 characters are left; else 0.
+    ``md`` names an array with the converted text of each turn (null where it could not be
+    converted, see ``with_markdown``); without it a turn converts to itself without
+    outer blanks. Codes, in the order tested: 1 too few turns (before or after one leading turn
+    that is not human and one trailing human turn are dropped); for the first turn that fails:
+    2 wrong role, 3 blocked word in the raw text, 4 no conversion; a turn that is empty
+    after conversion or begins with an unprintable character ends the conversation there; 1
+    again if fewer than 16 characters were read so far, or no turn is left after an odd rest is cut to even; else 0.
     """
-    c = F.col("conversations")
-    c = F.when((F.size(c) > 0) & (F.get(c, F.lit(0))["from"] != ROLES[0]), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(c)
-    held = df.withColumn("_a", c).withColumn("_b", F.when((F.size("_a") > 1) & (F.try_element_at("_a", F.lit(-1))["from"] == ROLES[0]), F.slice("_a", 1, F.size("_a") - 1)).otherwise(F.col("_a")))
-    # what each turn says: 2 and 3 as above, -1 stop here, 0 good
+    value = F.col(md) if md else F.transform("conversations", lambda x: F.trim(x["value"]))
+    turns = F.zip_with("conversations", value, lambda x, v: F.struct(x["from"].alias("from"), x["value"].alias("raw"), v.alias("value")))
+    held = df.withColumn("_a", turns)
+    held = held.withColumn("_a", F.when((F.size("_a") > 0) & (F.coalesce(F.get("_a", F.lit(0))["from"], F.lit("")) != ROLES[0]), F.slice("_a", 2, F.greatest(F.size("_a") - 1, F.lit(0)))).otherwise(F.col("_a")))
+    held = held.withColumn("_b", F.when((F.size("_a") > 1) & (F.try_element_at("_a", F.lit(-1))["from"] == ROLES[0]), F.slice("_a", 1, F.size("_a") - 1)).otherwise(F.col("_a")))
+    # what each turn says: 2, 3 and 4 as above, -1 stop here, 0 good
     turn = F.transform(
         "_b",
         lambda x, i: F.when(F.coalesce(x["from"], F.lit("")) != F.when(i % 2 == 0, ROLES[0]).otherwise(ROLES[1]), 2)
-        .when(F.rlike(F.lower(F.coalesce(x["value"], F.lit(""))), F.lit(BLOCKED)), 3)
-        .when((F.coalesce(convert(x["value"]), F.lit("")) == "") | F.rlike(F.coalesce(convert(x["value"]), F.lit("")), F.lit(r"^[\p{C}]")), -1)
+        .when(F.rlike(F.lower(F.coalesce(x["raw"], F.lit(""))), F.lit(BLOCKED)), 3)
+        .when(x["raw"].isNotNull() & x["value"].isNull(), 4)
+        .when((F.coalesce(x["value"], F.lit("")) == "") | F.rlike(F.coalesce(x["value"], F.lit("")), F.lit(r"^[\p{C}]")), -1)
         .otherwise(0),
     )
     held = held.withColumn("_t", turn).withColumn("_bad", F.coalesce(F.get(F.filter("_t", lambda t: t != 0), F.lit(0)), F.lit(0)))
-    first_stop = F.array_position("_t", F.lit(-1))
-    n = F.when(F.col("_bad") == -1, first_stop - 1).otherwise(F.size("_b"))
-    held = held.withColumn("_n", (n - n % 2).cast("int")).withColumn("_c", F.transform(F.slice("_b", 1, F.greatest(F.col("_n"), F.lit(0))), lambda x: F.struct(x["from"].alias("from"), convert(x["value"]).alias("value"))))
-    chars = F.aggregate("_c", F.lit(0), lambda acc, x: acc + F.char_length(x["value"]))
+    n = F.when(F.col("_bad") == -1, F.array_position("_t", F.lit(-1)) - 1).otherwise(F.size("_b"))
+    read = lambda k: F.transform(F.slice("_b", 1, F.greatest(k, F.lit(0))), lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value")))
+    held = held.withColumn("_n", n.cast("int")).withColumn("_c", read(F.col("_n") - F.col("_n") % 2))
+    chars = F.aggregate(read(F.col("_n")), F.lit(0), lambda acc, x: acc + F.coalesce(F.char_length(x["value"]), F.lit(0)))
     few = (F.size("conversations") <= 1) | (F.size("_a") <= 1) | (F.size("_b") <= 1)
-    code = F.when(F.coalesce(few, F.lit(True)), 1).when(F.col("_bad").isin(2, 3), F.col("_bad")).when((F.size("_c") == 0) | (chars < 16), 1).otherwise(0)
+    code = F.when(F.coalesce(few, F.lit(True)), 1).when(F.col("_bad").isin(2, 3, 4), F.col("_bad")).when((F.size("_c") == 0) | (chars < 16), 1).otherwise(0)
     return held.withColumn("code", code).withColumn("conversations", F.col("_c")).drop("_a", "_b", "_t", "_bad", "_n", "_c")
 
 
+def with_markdown(df: DataFrame, out: str = "md") -> DataFrame:
+    """Add the converted text of each turn, by ``page``; null where it cannot be converted."""
+    keep = df.columns
+    schema = df.select("*", F.lit(None).cast("array<string>").alias(out)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [None if c is None else [page(t["value"]) if t else None for t in c] for c in b.column(keep.index("conversations")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], names=[*keep, out])
+
+    return df.mapInArrow(run, schema)
+
+
 def split_long(df: DataFrame, max_tokens: int, tokens: Callable[[Column], Column] = lambda x: F.size(F.split(x, " ")), keep_tail: bool = False) -> DataFrame:
     """Pack pairs of turns greedily into samples of at most ``max_tokens``: (id, begin, conversations).
 
@@ -250,15 +269,55 @@ def length_histogram(df: DataFrame, text: str, width: int = 100) -> DataFrame:
 # --- pages -----------------------------------------------------------------------------
 
 
+# Patterns of what chat pages leave in their texts, and what each becomes, in the order applied.
+OPEN_TAGS = (r"<div.*?>", r"<span.*?>")
+CODE_WITH_LANGUAGE = (r"(?s)```\s*(.*?)(?:Copy code)+(.+?)\s*?```", "```{1}\n{2}\n```")
+COUNTER = r"\d+ / \d+"
+COPY_COUNT = r"Copy\d+ chars / \d+ words"
+EMPTY_CODE = r"```(.*?)Copy code\s*```"
+
+
+def without_open_tags(c: Column) -> Column:
+    """What goes before conversion: the open tags of blocks that would change indents and underscores."""
+    for p in OPEN_TAGS:
+        c = F.regexp_replace(c, p, "")
+    return c
+
+
+def tidied(c: Column) -> Column:
+    """What follows conversion: code blocks get their language on the first line; a page counter at the
+    very beginning, copy counts and empty code blocks go; triple line breaks become single ones."""
+    c = _outer(F.regexp_replace(_outer(c), CODE_WITH_LANGUAGE[0], CODE_WITH_LANGUAGE[1].replace("{1}", "$1").replace("{2}", "$2")))
+    c = F.regexp_replace(c, rf"\A{COUNTER}", "")
+    for p in (COPY_COUNT, EMPTY_CODE):
+        c = F.regexp_replace(c, p, "")
+    return _outer(F.replace(c, F.lit("\n\n\n"), F.lit("\n")))
+
+
+def _outer(c: Column) -> Column:
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
 def strip_page(c: Column | str) -> Column:
-    """What does not need a parser: open div and span tags go, copy buttons and counters go,
-    fences get their language on the first line, triple line breaks shrink."""
-    c = F.col(c) if isinstance(c, str) else c
-    c = F.regexp_replace(c, r"(?i)<(?:div|span)[^>]*>", "")
-    c = F.regexp_replace(c, r"Copy\d+ chars / \d+ words", "")
-    c = F.regexp_replace(c, r"```\s*Copy(?: code)?\s*```", "")
-    c = F.regexp_replace(c, r"^\s*\d+ ?/ ?\d+", "")
-    return F.trim(F.replace(c, F.lit("\n\n\n"), F.lit("\n")))
+    """All that needs no parser: ``without_open_tags`` and ``tidied``."""
+    return tidied(without_open_tags(F.col(c) if isinstance(c, str) else c))
+
+
+def page(html: str | None) -> str | None:
+    """One page turn as markdown: the same steps around the converter; null if its mark-up cannot be read."""
+    if html is None:
+        return None
+    for p in OPEN_TAGS:
+        html = re.sub(p, "", html)
+    try:
+        text = (to_markdown(html) or "").strip()
+    except (AssertionError, ValueError):
+        return None
+    text = re.sub(CODE_WITH_LANGUAGE[0], lambda m: CODE_WITH_LANGUAGE[1].format(None, m.group(1), m.group(2)), text).strip()
+    text = re.sub(rf"\A{COUNTER}", "", text)
+    for p in (COPY_COUNT, EMPTY_CODE):
+        text = re.sub(p, "", text)
+    return text.replace("\n\n\n", "\n").strip()
 
 
 def to_markdown(html: str | None) -> str | None:

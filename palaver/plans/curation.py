@@ -32,6 +32,34 @@ def conv_clean_counts(spark, sf_dir):
     return curate.cleaned(conversations(spark, sf_dir)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def conv_clean_pages(spark, sf_dir):
+    """The same with each turn converted from its page."""
+    c = curate.cleaned(curate.with_markdown(conversations(spark, sf_dir)), "md")
+    return c.select("id", "code", F.size("conversations").alias("turns"))
+
+
+# Small conversations for the rules that the tables do not reach: (turns as role and text, code, turns left).
+CLEAN_CASES = [
+    ([("system", "x"), ("human", "a question here"), ("gpt", "an answer"), ("human", "more")], 0, 2),
+    ([("system", "x"), ("system", "y"), ("human", "a question here"), ("gpt", "an answer")], 2, 3),
+    ([("human", "a question here"), ("human", "another")], 1, 1),
+    ([("human", "a"), ("gpt", "b"), ("human", "c"), ("gpt", "d")], 1, 4),
+    ([("human", "a"), ("gpt", "b"), ("human", "a text of enough letters"), ("gpt", " ")], 0, 2),
+    ([("human", "what is ChatGPT"), ("gpt", "a model of some kind")], 3, 2),
+    ([("human", "a question here"), ("gpt", "an answer of some length"), ("gpt", "again"), ("human", "x"), ("gpt", "y")], 2, 5),
+    ([("human", "only one turn of text")], 1, 1),
+    ([("human", "a question here"), ("gpt", ""), ("human", "openai"), ("gpt", "b")], 1, 0),
+]
+
+
+def conv_clean_cases(spark, sf_dir):
+    """The cleaning rules on ``CLEAN_CASES``, one for each battle by its id; ``turns`` as in conv_clean_codes."""
+    case = F.array(*[F.array(*[F.struct(F.lit(r).alias("from"), F.lit(t).alias("value")) for r, t in turns]) for turns, _, _ in CLEAN_CASES])
+    b = table(spark, sf_dir, "battles").select(F.col("battle_id").alias("id"), F.get(case, (F.col("battle_id") % len(CLEAN_CASES)).cast("int")).alias("conversations"))
+    c = curate.cleaned(b)
+    return c.select("id", "code", F.when(F.col("code") == 0, F.size("conversations")).alias("turns"))
+
+
 def conv_role_filter(spark, sf_dir):
     return conversations(spark, sf_dir).where(curate.alternating(F.col("conversations"))).select("id", F.size("conversations").alias("turns"))
 
@@ -144,20 +172,26 @@ def conv_long_pairs(spark, sf_dir):
     return curate.long_pairs(c, "question", "answer").select("id")
 
 
+PAGE_PARTS = [("3 / 4", "\n```\npythonCopy codex = 1\n\n```\n"), ("<div class='a'><span id='b'>", "</div>\n\n\nend"), ("", "Copy12 chars / 3 words"), (" 1 / 2 ", "```\nCopy code\n```"), ("<DIV>", "``` Copy code```!\n\n\n\n")]
+
+
 def page_strip_tags(spark, sf_dir):
+    """Documents as page texts, with the leftovers that chat pages have put around them by id."""
     d = documents(spark, sf_dir).where("text is not null")
-    return d.select("doc_id", curate.strip_page("text").alias("text"))
+    head = F.element_at(F.array(*[F.lit(x) for x, _ in PAGE_PARTS]), (F.col("doc_id") % len(PAGE_PARTS) + 1).cast("int"))
+    tail = F.element_at(F.array(*[F.lit(x) for _, x in PAGE_PARTS]), (F.col("doc_id") % len(PAGE_PARTS) + 1).cast("int"))
+    return d.select("doc_id", curate.strip_page(F.concat(head, F.col("text"), tail)).alias("text"))
 
 
 def page_to_markdown(spark, sf_dir):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(text=[curate.to_markdown(t) for t in b["text"]])
+            yield b.assign(text=[curate.page(t) for t in b["text"]])
 
     return documents(spark, sf_dir).select("doc_id", "text").mapInPandas(run, "doc_id bigint, text string")
 
 
-NAMES = ["conv_clean_codes", "conv_clean_counts", "conv_role_filter", "conv_first_round", "conv_model_filter", "conv_turn_index", "conv_stats", "conv_split_long", "conv_sample", "conv_shuffle", "conv_train_test", "conv_merge", "conv_greedy_dedup", "conv_filter_format", "doc_repetition_filter", "doc_lang_keep", "doc_lang_skip", "doc_dedup_first", "doc_length_hist", "doc_counts", "instruction_to_conv", "identity_rows", "doc_every_fifth", "conv_long_pairs", "page_strip_tags", "page_to_markdown"]
+NAMES = ["conv_clean_codes", "conv_clean_counts", "conv_clean_pages", "conv_clean_cases", "conv_role_filter", "conv_first_round", "conv_model_filter", "conv_turn_index", "conv_stats", "conv_split_long", "conv_sample", "conv_shuffle", "conv_train_test", "conv_merge", "conv_greedy_dedup", "conv_filter_format", "doc_repetition_filter", "doc_lang_keep", "doc_lang_skip", "doc_dedup_first", "doc_length_hist", "doc_counts", "instruction_to_conv", "identity_rows", "doc_every_fifth", "conv_long_pairs", "page_strip_tags", "page_to_markdown"]
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _C = "c AS (SELECT battle_id AS id, lower(trim(model_a)) AS model, list_transform(conversation_a, lambda m: {'f': CASE WHEN m.role = 'user' THEN 'human' ELSE 'gpt' END, 'v': m.content}) AS conv FROM battles)"
@@ -166,9 +200,16 @@ b AS (SELECT *, CASE WHEN len(a) > 1 AND a[-1].f = 'human' THEN a[:-2] ELSE a EN
 t AS (SELECT *, list_transform(b, lambda x, i: CASE WHEN x.f <> CASE WHEN i % 2 = 1 THEN 'human' ELSE 'gpt' END THEN 2 WHEN regexp_matches(lower(coalesce(x.v, '')), 'openai|chatgpt') THEN 3 WHEN coalesce(trim(x.v), '') = '' OR regexp_matches(trim(x.v), '^\\pC') THEN -1 ELSE 0 END) AS t FROM b),
 u AS (SELECT *, coalesce(list_filter(t, lambda z: z <> 0)[1], 0) AS bad, list_position(t, -1) AS stop FROM t),
 w AS (SELECT *, CASE WHEN bad = -1 THEN stop - 1 ELSE len(b) END AS n0 FROM u), x AS (SELECT *, (n0 - n0 % 2)::INT AS n FROM w),
-y AS (SELECT *, coalesce(list_sum(list_transform(b[:n], lambda m: length(trim(m.v)))), 0) AS chars FROM x),
+y AS (SELECT *, coalesce(list_sum(list_transform(b[:n0], lambda m: coalesce(length(trim(m.v)), 0))), 0) AS chars FROM x),
 z AS (SELECT id, CASE WHEN len(conv) <= 1 OR len(a) <= 1 OR len(b) <= 1 THEN 1 WHEN bad IN (2, 3) THEN bad WHEN n = 0 OR chars < 16 THEN 1 ELSE 0 END AS code, n AS turns FROM y)"""
 _W = "len(string_split({}, ' '))"
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 SQL = {
     "conv_clean_codes": f"WITH {_CLEAN} SELECT id, code::INT AS code, turns FROM z",
     "conv_clean_counts": f"WITH {_CLEAN} SELECT code::INT AS code, count(*) AS n FROM z GROUP BY code",
@@ -191,5 +232,21 @@ SQL = {
     "identity_rows": "SELECT * FROM (VALUES ('identity_0', 'Who are you?', 'I am Palaver, a model of the team.'), ('identity_1', 'Who are you?', 'My name is Palaver.'), ('identity_2', 'What is your name?', 'I am Palaver, a model of the team.'), ('identity_3', 'What is your name?', 'My name is Palaver.'), ('identity_4', 'Who made you?', 'I was made by the team.'), ('identity_5', 'Who made you?', 'the team made me.'), ('identity_6', 'Who made you?', 'The people of the team.')) v(id, question, answer)",
     "doc_every_fifth": "SELECT doc_id FROM documents WHERE doc_id % 5 = 0",
     "conv_long_pairs": f"WITH {_C} SELECT id FROM c WHERE len(regexp_extract_all(conv[1].v, '[^ \\t\\n\\r\\f\\v]+')) > 5 AND len(regexp_extract_all(conv[2].v, '[^ \\t\\n\\r\\f\\v]+')) > 5",
-    "page_strip_tags": r"""SELECT doc_id, trim(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<(div|span)[^>]*>', '', 'gi'), 'Copy\d+ chars / \d+ words', '', 'g'), '```\s*Copy( code)?\s*```', '', 'g'), '^\s*\d+ ?/ ?\d+', ''), chr(10) || chr(10) || chr(10), chr(10))) AS text FROM documents WHERE text IS NOT NULL""",
+    "page_strip_tags": rf"""WITH p AS (SELECT * FROM (VALUES {', '.join(f"({k}, {_text(x)}, {_text(y)})" for k, (x, y) in enumerate(PAGE_PARTS))}) v(k, head, tail)),
+d AS (SELECT doc_id, regexp_replace(regexp_replace(head || text || tail, '<div.*?>', '', 'g'), '<span.*?>', '', 'g') AS t FROM documents JOIN p ON k = doc_id % {len(PAGE_PARTS)} WHERE text IS NOT NULL),
+e AS (SELECT doc_id, trim(regexp_replace(trim(t, {_WS}), '(?s)```\s*(.*?)(?:Copy code)+(.+?)\s*?```', '```\1' || chr(10) || '\2' || chr(10) || '```', 'g'), {_WS}) AS t FROM d)
+SELECT doc_id, trim(replace(regexp_replace(regexp_replace(regexp_replace(t, '^\d+ / \d+', ''), 'Copy\d+ chars / \d+ words', '', 'g'), '```(.*?)Copy code\s*```', '', 'g'), chr(10) || chr(10) || chr(10), chr(10)), {_WS}) AS text FROM e""",
+    "conv_clean_cases": f"WITH v AS (SELECT * FROM (VALUES {', '.join(f'({k}, {code}, {left})' for k, (_, code, left) in enumerate(CLEAN_CASES))}) v(k, code, turns)) SELECT battle_id AS id, code, CASE WHEN code = 0 THEN turns END AS turns FROM battles JOIN v ON k = battle_id % {len(CLEAN_CASES)}",
+    "conv_greedy_dedup": """WITH RECURSIVE o AS (SELECT battle_id AS id, coalesce(question_id, '') AS a, question_id IS NULL AS na, coalesce(conversation_a[1:2]::VARCHAR, '') AS b, conversation_a IS NULL AS nb, row_number() OVER (ORDER BY battle_id) AS n FROM battles),
+s AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, []::VARCHAR[] AS sa, []::VARCHAR[] AS sb UNION ALL
+SELECT o.n, CASE WHEN keep THEN o.id END, CASE WHEN keep AND NOT na THEN list_append(sa, a) ELSE sa END, CASE WHEN keep AND NOT nb THEN list_append(sb, b) ELSE sb END
+FROM (SELECT s.sa, s.sb, o.*, NOT ((NOT na AND list_contains(sa, a)) OR (NOT nb AND list_contains(sb, b))) AS keep FROM s JOIN o ON o.n = s.n + 1) o)
+SELECT id AS battle_id FROM s WHERE id IS NOT NULL""",
+    "conv_split_long": f"""WITH RECURSIVE {_C}, e AS (SELECT id, conv, len(conv) // 2 AS n FROM c WHERE len(conv) > 1),
+k AS (SELECT id, conv, n, list_transform(range(n), lambda i: len(string_split(conv[2 * i + 1].v, ' ')) + len(string_split(conv[2 * i + 2].v, ' ')) + 12) AS cost FROM e),
+f AS (SELECT id, conv, n, cost, 0::BIGINT AS i, 0::BIGINT AS start, 0::BIGINT AS cur, NULL::BIGINT AS b, NULL::BIGINT AS e FROM k UNION ALL
+SELECT id, conv, n, cost, i + 1, CASE WHEN cur + cost[i + 1] > 120 THEN i ELSE start END, CASE WHEN cur + cost[i + 1] > 120 THEN cost[i + 1] ELSE cur + cost[i + 1] END,
+CASE WHEN cur + cost[i + 1] > 120 OR i = n - 1 THEN start END, CASE WHEN cur + cost[i + 1] > 120 THEN i WHEN i = n - 1 THEN i + 1 END FROM f WHERE i < n),
+r AS (SELECT id || '_' || 2 * b AS id, (2 * b)::INT AS begin, conv[2 * b + 1 : 2 * e] AS part FROM f WHERE b IS NOT NULL)
+SELECT id, begin, len(part)::INT AS turns, len(part) > 0 AND len(list_filter(part, lambda x, i: x.f <> CASE WHEN i % 2 = 1 THEN 'human' ELSE 'gpt' END)) = 0 AS valid FROM r""",
 }

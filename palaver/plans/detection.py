@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import text, verdicts
@@ -67,20 +67,75 @@ def det_leader_cluster(spark, sf_dir):
     return detect.leader_clusters(vectors(spark, sf_dir), "grp", "pos", "v", 0.3)
 
 
+# Cases of the labelling rules: (golds, answer, question, whether a number is asked for, label).
+QUIZ = "Which is it?\n(A) a red fox.\n(B) a grey wolf\n(C) two bears!"
+LABEL_CASES = [
+    (["a red fox"], "I think the answer to this is a red fox. Sure.", QUIZ, False, 1),
+    (["a red fox"], "Well, the answer is a grey wolf. Sure.", QUIZ, False, 0),
+    (["a red fox"], "Two bears", QUIZ, False, 0),
+    (["a red fox"], "some other animal", QUIZ, False, -1),
+    (["a red fox"], "a grey wolf", "Which is it?", False, -1),
+    (["Paris", "Lutetia"], "lutetia.", "", False, 1),
+    (["Paris"], "in Paris", "", False, 1),
+    (["Paris"], "it must be Paris", "", False, -1),
+    (["twenty-five thousand"], "about twenty-five thousand", "", False, 1),
+    (["12"], "There are 12 apples.", "", True, 1),
+    (["12"], "There are 13 apples.", "", True, 0),
+    (["1200"], "It costs 1,200 in all", "", True, 1),
+    (["12"], "First 3, then 4. Therefore 3 * 4 = 12 apples.", "", True, 1),
+    (["12"], "First 3, then 4. So it is 14.", "", True, 0),
+    (["12"], "3 and 4 Answer: \\boxed{12}", "", True, 1),
+    (["12"], "3 and 4, who knows", "", True, -1),
+    (["12"], "no number here", "", True, -1),
+    (["12"], "the answer here is 12. It was 11 before.", "", True, 1),
+]
+# Cases of the reward rules: (gold, answer, reply on the kind, reply on the correctness, level).
+REWARD_CASES = [
+    ("Paris", " paris ", "", "", 6),
+    ("Paris", "in Paris", "", "", 5),
+    ("7", "it is 7", "", "", -1),
+    ("Paris", "Paris" + " and much more" * 5, "", "", -1),
+    ("Paris", "Rome", "Unexpected answer type", "Completely correct", 1),
+    ("Paris", "Rome", "unexpected answer type", "correct", 0),
+    ("Paris", "Rome", "Expected answer type", "incorrect", 1),
+    ("Paris", "Rome", "a valid kind", "partly correct", 3),
+    ("Paris", "Rome", "expected answer type", "completely correct", 4),
+    ("Paris", "Rome", "expected answer type", "no idea", -1),
+    ("Paris", "Rome", "no idea", "completely correct", 2),
+    ("Paris", "Rome", "no idea", "correct", 1),
+    ("Paris", "Rome", "no idea", "incorrect", 0),
+    ("Paris", "Rome", "no idea", "no idea", -1),
+]
+# Replies on the agreement of two answers, and whether they agree; replies on a level, and the level; replies on the kind, and the coarse reward.
+SAID_CASES = [("They are the same.", True), ("not contradicted", True), ("contradicted", False), ("Same", True), ("SAME", False)]
+LEVEL_CASES = [("Level 3: fine", 3), ("level 4", 4), ("Level 5", -1), ("3 of Level 2", -1), ("none", -1), ("It is level 0.", 0)]
+COARSE_CASES = [("unexpected", 0), ("expected", 2), ("a valid reply", 2), ("neither", 1), ("expected, not unexpected", 0)]
+
+
+def _case(cases: list, at: int, kind: str) -> Column:
+    """Field ``at`` of the case that the question id points to."""
+    values = [F.array(*[F.lit(x) for x in c[at]]) if isinstance(c[at], list) else F.lit(c[at]) for c in cases]
+    return F.get(F.array(*values), (F.col("question_id") % len(cases)).cast("int")).cast(kind)
+
+
 def det_rule_label(spark, sf_dir):
     q = table(spark, sf_dir, "question")
-    gold = F.when(F.col("question_id") % 3 == 0, F.col("question_id").cast("string")).otherwise(F.lit("Paris"))
-    answer = F.when(F.col("question_id") % 2 == 0, F.concat(F.lit("The answer is "), F.when(F.col("question_id") % 4 == 0, gold).otherwise(F.lit("1234567")), F.lit(". Done"))).otherwise(F.lit("in Paris, I think"))
-    label = verdicts.rule_label(gold, answer, F.get("turns", F.lit(0)))
-    return q.select("question_id", label.alias("label"), verdicts.fused_label(label, F.col("question_id") % 2 == 1).alias("fused"), verdicts.agrees(answer).alias("agrees"))
+    label = verdicts.rule_label(_case(LABEL_CASES, 0, "array<string>"), _case(LABEL_CASES, 1, "string"), _case(LABEL_CASES, 2, "string"), _case(LABEL_CASES, 3, "boolean"))
+    return q.select("question_id", label.alias("label"), verdicts.fused_label(label, F.col("question_id") % 2 == 1).alias("fused"), verdicts.agrees(_case(SAID_CASES, 0, "string")).alias("agrees"))
+
+
+def det_rule_label_answers(spark, sf_dir):
+    """The rules on the answers themselves, held against the reference answers and the prompts."""
+    q = table(spark, sf_dir, "question").where("reference is not null")
+    a = table(spark, sf_dir, "model_answer").select("answer_id", "question_id", F.get(F.get("choices", F.lit(0))["turns"], F.lit(0)).alias("answer")).distinct()
+    label = verdicts.rule_label("reference", "answer", F.get("turns", F.lit(0)), F.lit(False))
+    return a.join(q, "question_id").select("answer_id", label.alias("label"))
 
 
 def det_reward_ladder(spark, sf_dir):
     q = table(spark, sf_dir, "question")
-    gold, answer = F.coalesce("category", F.lit("none")), F.when(F.col("question_id") % 2 == 0, F.coalesce("category", F.lit("none"))).otherwise(F.concat(F.lit("it is "), F.coalesce("category", F.lit("?"))))
-    level = verdicts.reward(gold, answer, F.col("question_id") % 3 == 0, F.col("question_id") % 5 == 0)
-    said = F.concat(F.lit("Level "), (F.col("question_id") % 7).cast("string"), F.lit(": unexpected"))
-    return q.select("question_id", level.alias("level"), F.round(verdicts.scaled_reward(level), 6).alias("scaled"), verdicts.level_of(said).alias("said_level"), verdicts.coarse_reward(said).alias("coarse"))
+    level = verdicts.reward(*[_case(REWARD_CASES, k, "string") for k in range(4)])
+    return q.select("question_id", level.alias("level"), F.round(verdicts.scaled_reward(level), 6).alias("scaled"), verdicts.level_of(_case(LEVEL_CASES, 0, "string")).alias("said_level"), verdicts.coarse_reward(_case(COARSE_CASES, 0, "string")).alias("coarse"))
 
 
 def det_feature_join(spark, sf_dir):
@@ -166,13 +221,21 @@ def prompt_label_mask(spark, sf_dir):
 
 
 RENDERS = {f"prompt_render_{n}": _render(n) for n in prompts.styles()}
-NAMES = ["det_explode", "det_explode_duplicate", "det_group", "det_entropy", "det_logprob_features", "det_contradiction", "det_embedding_pool", "det_leader_cluster", "det_rule_label", "det_reward_ladder", "det_feature_join", "det_gold_filter", "det_mixed_groups", "det_classifier_metrics", "det_baseline_metrics", "det_paraphrase_lines", "det_batches", "det_top_instances", "prompt_chat_pairs", "prompt_moderation", "prompt_decorated", "prompt_answer_pairs", "prompt_label_mask"]
+NAMES = ["det_explode", "det_explode_duplicate", "det_group", "det_entropy", "det_logprob_features", "det_contradiction", "det_embedding_pool", "det_leader_cluster", "det_rule_label", "det_rule_label_answers", "det_reward_ladder", "det_feature_join", "det_gold_filter", "det_mixed_groups", "det_classifier_metrics", "det_baseline_metrics", "det_paraphrase_lines", "det_batches", "det_top_instances", "prompt_chat_pairs", "prompt_moderation", "prompt_decorated", "prompt_answer_pairs", "prompt_label_mask"]
 QUERIES = {n: globals()[n] for n in NAMES} | RENDERS
 
 _G = """g AS (SELECT battle_id AS pos, lower(trim(model_a)) AS grp, coalesce(language, 'none') AS cluster, winner, list_transform(range(1, battle_id % 5 + 3), lambda i: -((battle_id * i) % 17 + 1) / 10.0::DOUBLE) AS logps FROM battles WHERE question_id IS NOT NULL)"""
 _E = f"""{_G}, k AS (SELECT grp, cluster, count(*) AS k FROM g GROUP BY ALL), h AS (SELECT grp, ln(sum(k)::DOUBLE) - sum(k * ln(k::DOUBLE)) / sum(k) AS entropy, max(k) / sum(k)::DOUBLE AS max_ratio, 1 - arg_min(k, cluster) / sum(k)::DOUBLE AS contradiction FROM k GROUP BY grp)"""
 
 
+_V = "v AS (SELECT vec_id::BIGINT AS pos, 'g' || label AS grp, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def _pick(cases: list, at: int) -> str:
+    """Field ``at`` of the case that the question id points to, in SQL."""
+    return f"[{', '.join(str(c[at]) for c in cases)}][question_id % {len(cases)} + 1]"
+
+
 def _style_sql(name: str) -> str:
     s = prompts.styles()[name]
     q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
@@ -194,8 +257,18 @@ SQL = {
     "det_group": "WITH a AS (SELECT DISTINCT question_id, answer_id, model_id FROM model_answer) SELECT question_id, string_agg(model_id, '|' ORDER BY answer_id) AS models, arg_min(model_id, answer_id) AS gold, min(answer_id) AS first, count(*) AS n FROM a GROUP BY question_id",
     "det_entropy": f"WITH {_E} SELECT grp, round(entropy, 6) AS entropy, round(max_ratio, 6) AS max_ratio, round(contradiction, 6) AS contradiction FROM h",
     "det_logprob_features": f"WITH {_G}, x AS (SELECT pos, logps, list_transform(logps, lambda y: exp(y)) AS p, list_sum(logps) AS t, len(logps) AS n FROM g) SELECT pos, round(list_sum(p) / n, 6) AS prob_mean, round(list_max(p), 6) AS prob_max, round(list_min(p), 6) AS prob_min, round(exp(-t / n), 6) AS perplexity, round(-t / n, 6) AS neglog_mean, round(-list_min(logps), 6) AS neglog_max, round(t, 6) AS likelihood, round(t / n, 6) AS likelihood_avg FROM x",
-    "det_rule_label": "WITH q AS (SELECT question_id AS i, CASE WHEN question_id % 2 = 1 THEN -1 WHEN question_id % 3 = 0 THEN CASE WHEN question_id % 4 = 0 THEN 1 ELSE 0 END WHEN question_id % 4 = 0 THEN 1 ELSE -1 END AS l FROM question) SELECT i AS question_id, l::INT AS label, CASE WHEN l = -1 THEN (i % 2 = 1)::INT ELSE l END::INT AS fused, false AS agrees FROM q",
-    "det_reward_ladder": "WITH q AS (SELECT question_id AS i, CASE WHEN question_id % 2 = 0 THEN 6 WHEN category IS NULL THEN CASE WHEN question_id % 3 = 0 AND question_id % 5 = 0 THEN 4 WHEN question_id % 3 = 0 THEN 2 WHEN question_id % 5 = 0 THEN 3 ELSE 0 END ELSE 5 END AS l FROM question) SELECT i AS question_id, l::INT AS level, round(greatest(1.0::DOUBLE, l / 4.0::DOUBLE), 6) AS scaled, CASE WHEN i % 7 <= 4 THEN i % 7 ELSE -1 END::INT AS said_level, 0 AS coarse FROM q",
+    "det_rule_label": f"WITH l AS (SELECT question_id, {_pick(LABEL_CASES, 4)} AS label, {_pick(SAID_CASES, 1)} AS agrees FROM question) SELECT question_id, label, CASE WHEN label = -1 THEN (question_id % 2 = 1)::INT ELSE label END AS fused, agrees FROM l",
+    "det_rule_label_answers": r"""WITH a AS (SELECT DISTINCT answer_id, question_id, choices[1].turns[1] AS x FROM model_answer), j AS (SELECT answer_id, list_filter(reference, lambda g: g IS NOT NULL) AS golds, x, string_split(x, chr(10))[1] AS line FROM a JOIN question USING (question_id) WHERE reference IS NOT NULL),
+s AS (SELECT *, CASE WHEN regexp_matches(line, '^.*? answer .*? is .*') THEN string_split(regexp_extract(line, '^(.*?) answer (.*?) is (.*)', 3), '.')[1] WHEN regexp_matches(line, '^.*? answer is .*') THEN string_split(regexp_extract(line, '^(.*?) answer is (.*)', 2), '.')[1] ELSE x END AS said FROM j),
+t AS (SELECT answer_id, lower(trim(trim(said, ' ' || chr(9) || chr(10) || chr(13)), '.')) AS a, list_transform(golds, lambda g: lower(trim(trim(g, ' ' || chr(9) || chr(10) || chr(13)), '.'))) AS gs FROM s)
+SELECT answer_id, CASE WHEN a IS NOT NULL AND len(list_filter(gs, lambda g: a = g OR (contains(a, g) AND (length(a) - length(g) < 5 OR (length(a) < 1.5 * length(g) AND length(a) - length(g) < 15))))) > 0 THEN 1 ELSE -1 END AS label FROM t""",
+    "det_reward_ladder": f"WITH l AS (SELECT question_id, {_pick(REWARD_CASES, 4)} AS level, {_pick(LEVEL_CASES, 1)} AS said_level, {_pick(COARSE_CASES, 1)} AS coarse FROM question) SELECT question_id, level, round(greatest(1.0::DOUBLE, level / 4.0::DOUBLE), 6) AS scaled, said_level, coarse FROM l",
+    "det_contradiction": f"WITH {_V}, f AS (SELECT grp, min(pos) AS o, arg_min(v, pos) AS v0 FROM v GROUP BY grp), c AS (SELECT v.grp, greatest(0.0::DOUBLE, list_dot_product(v.v, f.v0) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(f.v0, f.v0)))) AS c FROM v JOIN f ON f.grp = v.grp AND v.pos > f.o) SELECT f.grp, round(1 - avg(c.c), 5) AS contradiction FROM f LEFT JOIN c USING (grp) GROUP BY f.grp",
+    "det_embedding_pool": f"WITH {_V}, m AS (SELECT grp, {', '.join(f'avg(v[{k + 1}]) AS a{k}' for k in range(64))} FROM v GROUP BY grp), n AS (SELECT *, sqrt({' + '.join(f'a{k} * a{k}' for k in range(64))}) AS norm FROM m) SELECT grp, {', '.join(f'round(a{k} / norm, 5) AS v{k}' for k in range(64))} FROM n",
+    "det_leader_cluster": f"""WITH RECURSIVE {_V}, o AS (SELECT grp, pos, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u, row_number() OVER (PARTITION BY grp ORDER BY pos) AS n FROM v),
+s AS (SELECT DISTINCT grp, 0::BIGINT AS n, NULL::BIGINT AS pos, NULL::BIGINT AS leader, []::STRUCT(p BIGINT, u DOUBLE[])[] AS known FROM o UNION ALL
+SELECT grp, n, pos, coalesce(hit, pos), CASE WHEN hit IS NULL THEN list_append(known, {{'p': pos, 'u': u}}) ELSE known END FROM (SELECT o.grp, o.n, o.pos, o.u, s.known, list_filter(s.known, lambda k: list_dot_product(k.u, o.u) >= 0.3)[1].p AS hit FROM s JOIN o ON o.grp = s.grp AND o.n = s.n + 1))
+SELECT grp, pos, leader FROM s WHERE pos IS NOT NULL""",
     "det_feature_join": f"WITH {_E} SELECT g.pos, g.grp, round(h.entropy, 6) AS entropy, round(h.max_ratio, 6) AS max_ratio, (g.winner = 'model_a')::INT AS label FROM g JOIN h ON g.grp = h.grp WHERE g.winner IS NOT NULL",
     "det_gold_filter": "SELECT question_id AS id, category AS gold, '[' || category || ', x]' AS listed FROM question WHERE coalesce(category, '') <> '' AND NOT contains(category, 'en.wikipedia.org')",
     "det_mixed_groups": f"WITH {_G}, r AS (SELECT grp, (winner = 'model_a')::INT AS label, len(logps)::DOUBLE AS v FROM g WHERE winner IS NOT NULL), p AS (SELECT grp, avg(v) FILTER (label = 0) AS m0, avg(v) FILTER (label = 1) AS m1 FROM r GROUP BY grp HAVING count(DISTINCT label) = 2) SELECT count(*) AS groups, round(sum(m0), 6) AS sum_0, round(sum(m1), 6) AS sum_1 FROM p",
