@@ -123,6 +123,22 @@ def gold_list(c: Column | str) -> Column:
     return F.concat(F.lit("["), F.array_join(col(c), ", "), F.lit("]"))
 
 
+def json_text(c: Column | str) -> Column:
+    """A text as a JSON string, with its quotes."""
+    whole = F.to_json(F.array(col(c)))
+    return F.when(col(c).isNotNull(), F.substring(whole, F.lit(2), F.char_length(whole) - 2))
+
+
+def from_json_text(c: Column | str) -> Column:
+    """The text of a JSON string."""
+    return F.get(F.from_json(F.concat(F.lit("["), col(c), F.lit("]")), "array<string>"), F.lit(0))
+
+
+def first_gold(c: Column | str) -> Column:
+    """The first of a list of golds, as a prompt quotes it."""
+    return json_text(F.get(col(c), F.lit(0)))
+
+
 def input_guard(text: Column | str, turns: Column | str, cap: int = 2560, limit: int = 50) -> Column:
     """What the serving guards say of a user input: empty, too many turns, cut, ok."""
     return F.when(F.coalesce(F.char_length(F.trim(col(text))), F.lit(0)) == 0, "empty").when(col(turns) >= limit, "turn_limit").when(F.char_length(col(text)) > cap, "cut").otherwise("ok")

@@ -113,6 +113,22 @@ def win_fraction(battles: DataFrame) -> DataFrame:
     return pairs.withColumn("fraction", F.try_divide("wins", "games"))
 
 
+def is_anonymous(models: Column | str) -> Column:
+    """Whether the log hides the first model's name; a name like "Model A" is not hidden."""
+    models = F.col(models) if isinstance(models, str) else models
+    return F.coalesce(F.get(models, F.lit(0)) == "", F.lit(False))
+
+
+def filled_matrix(battles: DataFrame, most: int = 2_000) -> DataFrame:
+    """The counts of ``battle_matrix`` for every pair of models of the two seats, zero where
+    there is no battle. The models are lists of at most ``most`` names (checked)."""
+    m = battle_matrix(battles)
+    a, b = m.select("model_a").distinct(), m.select("model_b").distinct()
+    if max(a.count(), b.count()) > most:
+        raise ValueError("a matrix is for a list of models")
+    return a.join(F.broadcast(b)).join(m, ["model_a", "model_b"], "left").na.fill(0)
+
+
 def average_win_rate(fractions: DataFrame) -> DataFrame:
     """Unweighted mean over opponents."""
     return fractions.groupBy("model").agg(F.avg("fraction").alias("win_rate"), F.count("fraction").alias("opponents"))

@@ -6,6 +6,7 @@ A conversation is ``id``, ``conversations`` (array of struct ``from``, ``value``
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -200,18 +201,44 @@ def sample(df: DataFrame, begin: int, end: int, max_chars: int, pos: str = "pos"
 
 
 def shuffled_place(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """A seeded random order as a column: a hash of the key, so it does not depend on partitions."""
-    return df.withColumn("place", F.xxhash64(F.col(key), F.lit(seed)))
+    """A seeded random order as a column of 60 bits: a digest of seed and key, so it depends
+    neither on partitions nor on the engine."""
+    return df.withColumn("place", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("bigint"))
+
+
+def shuffled_take(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """The first ``n`` rows of a seeded random order."""
+    return shuffled_place(df, key, seed).orderBy("place", key).limit(n).drop("place")
+
+
+def poisson_limits(mean: float = 1.0, most: int = 12) -> list[int]:
+    """The places, of 2^60, up to which a Poisson number is 0, 1, 2, ...; see ``drawn``."""
+    limits, term, total = [], math.exp(-mean), 0.0
+    for k in range(most):
+        total += term
+        limits.append(int(total * 2**60))
+        term *= mean / (k + 1)
+    return limits
+
+
+def drawn(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Rows with replacement, about as many as there are: each row as often as a Poisson number of
+    mean 1 says that its place in the seeded order stands for; ``times`` at least 1."""
+    limits = poisson_limits()
+    times = F.lit(len(limits))
+    for k in reversed(range(len(limits))):
+        times = F.when(F.col("place") < limits[k], k).otherwise(times)
+    return shuffled_place(df, key, seed).withColumn("times", times).where("times > 0").drop("place")
 
 
 def train_test(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
-    """Adds ``part``: train for exactly floor(ratio * n) rows, chosen by hash, else test.
+    """Adds ``part``: train for exactly floor(ratio * n) rows, the first of a seeded order, else test.
 
-    The border is found from counts of 4096 hash ranges; only its own range is ranked.
+    The border is found from counts of 4096 ranges of the order; only its own range is ranked.
     """
     n = df.count()
     want = int(ratio * n)
-    hashed = shuffled_place(df, key, seed).withColumn("bucket", F.shiftright("place", 52) + 2048)
+    hashed = shuffled_place(df, key, seed).withColumn("bucket", F.shiftright("place", 48))
     before, border, left = 0, 4096, 0
     for r in hashed.groupBy("bucket").count().orderBy("bucket").collect():
         if before + r["count"] > want:

@@ -204,7 +204,24 @@ def mixed_groups(rows: DataFrame, group: str, label: str, value: str) -> DataFra
     return per.agg(F.count(F.lit(1)).alias("groups"), F.sum("m0").alias("sum_0"), F.sum("m1").alias("sum_1"))
 
 
-FEATURE_SETS = {"all": ["entropy", "max_ratio", "contradiction", "likelihood_avg"], "entropy": ["entropy"], "ratio": ["max_ratio"], "agreement": ["entropy", "max_ratio"], "likelihood": ["likelihood_avg"]}
+# Names of feature sets and the places of their columns in a feature file; first those for generations, then those for
+# the answers to a question's own paraphrases. Any other name is the first seven columns.
+FEATURE_SETS = {
+    "ALL": (0, 1, 2, 3, 4, 5, 6), "4_combination": (0, 1, 2, 3), "atypicality": (0,), "entropy": (1,), "token_probs": (2,), "perplexity": (5,), "atypicality_avg": (3,), "atypicalities": (0, 3),
+    "ALL_merges": (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10), "ALL_wo_selfGPT": (0, 1, 2, 3, 4, 5, 9, 10), "ALL_wo_selfcons": (0, 1, 2, 3, 4, 5, 6, 7, 8),
+}
+OWN_FEATURE_SETS = {"self_consistency": (2, 3), "selfCheckGPT": (4, 5, 6)}
+
+
+def feature_set(name: str, columns: list[str], own: bool = False) -> list[str]:
+    """The columns of a named feature set, out of those of a feature file."""
+    places = (OWN_FEATURE_SETS if own else FEATURE_SETS).get(name, tuple(range(7)))
+    return [columns[k] for k in places]
+
+
+def random_baseline(df: DataFrame, key: str, seed: int = 7) -> DataFrame:
+    """Add ``prediction``, 0 or 1 by a seeded digest of the key: what a classifier must beat."""
+    return df.withColumn("prediction", (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 1), 16, 10).cast("int") >= 8).cast("int"))
 
 
 def hash_split(df: DataFrame, key: str, share: float, seed: int = 7) -> tuple[DataFrame, DataFrame]:

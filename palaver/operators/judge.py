@@ -102,12 +102,47 @@ def matches_single(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return answers.join(questions, "question_id").select("question_id", F.col("model_id").alias("model"), F.coalesce(F.col("category").isin(*NEED_REFERENCE), F.lit(False)).alias("needs_ref"))
 
 
-def missing_answers(answers: DataFrame, questions: DataFrame, models: DataFrame) -> DataFrame:
-    """Questions of each listed model without an answer (models: a checked short list)."""
+def missing_answers(answers: DataFrame, questions: DataFrame, models: DataFrame, most: int = 2_000) -> DataFrame:
+    """Questions of each listed model without an answer. ``models`` is a list, of at most ``most``
+    names (checked), so questions times models is what was asked for."""
+    n = models.count()
+    if n > most:
+        raise ValueError(f"a list of models, not {n} rows")
     wanted = questions.select("question_id").join(F.broadcast(models.select("model_id")))
     return wanted.join(answers.select("question_id", "model_id").distinct(), ["question_id", "model_id"], "left_anti")
 
 
+def assert_complete(missing: DataFrame) -> None:
+    """Raise if any answer is missing, naming the first ones."""
+    some = missing.limit(5).collect()
+    if some:
+        raise ValueError(f"answers are missing, among them {[tuple(r) for r in some]}")
+
+
+def with_reference(matches: DataFrame, references: DataFrame, judge_model: str) -> DataFrame:
+    """Matches that need a reference answer get that of the judging model (``references``: judge,
+    question_id, turns; the last by ``tstamp`` counts), null if there is none; others get null."""
+    last = references.where(F.col("judge") == judge_model).groupBy("question_id").agg(F.max_by("turns", "tstamp").alias("reference"))
+    return matches.join(last, "question_id", "left").withColumn("reference", F.when(F.col("needs_ref"), F.col("reference")))
+
+
+def vote_keys(votes: DataFrame, family: str, key: tuple[str, ...] = ("question_id", "turn", "model_1", "model_2"), check: bool = False) -> DataFrame:
+    """Each key with its number of votes of a judge family. With ``check`` the query fails on a
+    key that has not exactly one, as a comparison with people's votes asks."""
+    n = F.count_if(judge_family("judge") == family)
+    counted = votes.groupBy(*key).agg(n.alias("votes"))
+    return counted.where(F.assert_true(F.col("votes") == 1, F.lit("a key has not exactly one vote")).isNull()) if check else counted
+
+
+#: Ways of pairing answers for a judge, by name: each takes (answers, questions, baseline).
+MATCHERS = {"pairs": lambda a, q, _: matches_all_pairs(a, q), "baseline": matches_baseline, "single": lambda a, q, _: matches_single(a, q)}
+
+
+def matches(mode: str, answers: DataFrame, questions: DataFrame, baseline: str | None = None) -> DataFrame:
+    """The matches of a run by the name of their strategy; own strategies are items of ``MATCHERS``."""
+    return MATCHERS[mode](answers, questions, baseline)
+
+
 def judge_route(category: str = "category", turn: str = "turn") -> Column:
     """Which of the four judges a game goes to."""
     hard, second = F.coalesce(F.col(category).isin(*NEED_REFERENCE), F.lit(False)), F.col(turn) > 1

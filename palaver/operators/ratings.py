@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.operators.curate import drawn
+
 K, SCALE, BASE, INIT = 4.0, 400.0, 10.0, 1000.0
 
 
@@ -24,14 +26,14 @@ def _points() -> Column:
     return F.when(F.col("winner") == "model_a", 1.0).when(F.col("winner") == "model_b", 0.0).when(F.col("winner").isin("tie", "tie (bothbad)"), 0.5)
 
 
-def online_elo(battles: DataFrame, order: list[str], k: float = K, scale: float = SCALE, base: float = BASE, init: float = INIT) -> DataFrame:
-    """(model, rating) after all battles in order. The fold is serial by its definition: three
+def online_elo(battles: DataFrame, order: list[str], k: float = K, scale: float = SCALE, base: float = BASE, init: float = INIT, start: dict[str, float] | None = None) -> DataFrame:
+    """(model, rating) after all battles in order; ``start`` has ratings from before (a list of models). The fold is serial by its definition: three
     narrow columns go through one task in sorted order and only the ratings are held.
     Rows without winner or model are left out."""
     rows = battles.select(*order, "model_a", "model_b", _points().alias("points")).where("points is not null and model_a is not null and model_b is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratings: dict[str, float] = {}
+        ratings: dict[str, float] = dict(start or {})
         for b in batches:
             for x, y, p in zip(*(b.column(c).to_pylist() for c in ("model_a", "model_b", "points")), strict=True):
                 _fold(ratings, x, y, p, k, scale, base, init)
@@ -98,6 +100,20 @@ def _drawn_rounds(outcomes: list, rounds: range, seed: int, chunk: int = 4096) -
     return pa.RecordBatch.from_arrays([pa.array([rounds[k] for k in (places // len(models)).tolist()], pa.int32()), pa.array([models[k] for k in (places % len(models)).tolist()], pa.string()), pa.array(ratings[places], pa.float64())], names=["round", "model", "rating"])
 
 
+def bootstrap(battles: DataFrame, rating: Callable[[DataFrame], DataFrame], rounds: int, seed: int = 42, key: str = "battle_id") -> DataFrame:
+    """(round, ...) of any rating function over resamples with replacement; see ``curate.drawn``.
+
+    The function is handed one resample at a time, so it may be any DataFrame program; for the
+    online Elo with many rounds ``bootstrap_elo`` needs the counts of outcomes only.
+    """
+    out = None
+    for k in range(rounds):
+        resample = drawn(battles, key, seed + k).withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "_copy")
+        part = rating(resample).withColumn("round", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def interval(samples: DataFrame) -> DataFrame:
     """Median (nearest integer) and 95 % interval of bootstrap ratings."""
     q = F.percentile("rating", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))

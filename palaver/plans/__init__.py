@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("arena", "judging", "curation", "detection", "monitoring")
+MODULES = ("arena", "judging", "curation", "detection", "monitoring", "serving")
 
 
 def _merged(what: str) -> dict:

@@ -98,7 +98,7 @@ def conv_shuffle(spark, sf_dir):
 
 
 def conv_train_test(spark, sf_dir):
-    return curate.train_test(conversations(spark, sf_dir).select("id"), "id", 0.9).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return curate.train_test(conversations(spark, sf_dir).select("id"), "id", 0.9)
 
 
 def conv_merge(spark, sf_dir):
@@ -117,12 +117,13 @@ def conv_greedy_dedup(spark, sf_dir):
 def conv_filter_format(spark, sf_dir):
     """Conversations without a list item numbered 1 twice; documents as one turn."""
     d = documents(spark, sf_dir)
-    conv = F.array(F.struct(F.lit("gpt").alias("from"), F.col("text").alias("value")))
+    said = F.concat("text", F.when(F.col("doc_id") % 5 == 0, "\n1. one\n1. again").when(F.col("doc_id") % 5 == 1, "\n1. one\n2. two\n1. new").otherwise(""))
+    conv = F.array(F.struct(F.lit("gpt").alias("from"), said.alias("value")))
     return d.where(~curate.has_wrong_format(conv)).select("doc_id")
 
 
 def doc_repetition_filter(spark, sf_dir):
-    return documents(spark, sf_dir).where(curate.has_repetition(F.regexp_replace("text", "[1-7]", "8"))).select("doc_id")
+    return documents(spark, sf_dir).where(curate.has_repetition(F.concat("text", F.repeat((F.col("doc_id") % 10).cast("string"), (F.col("doc_id") % 4 + 7).cast("int"))))).select("doc_id")
 
 
 def doc_lang_keep(spark, sf_dir):
@@ -219,10 +220,11 @@ SQL = {
     "conv_turn_index": f"WITH {_C}, t AS (SELECT id, unnest(range(len(conv)))::INT AS turn, conv FROM c) SELECT id, turn, (turn % 2)::INT AS parity, conv[turn + 1].f AS speaker FROM t",
     "conv_stats": f"WITH {_C}, t AS (SELECT conv, unnest(range(len(conv))) AS i FROM c), r AS (SELECT sum({_W.format('conv[i + 1].v')})::DOUBLE / count(conv[i + 1].v) AS t FROM t WHERE i % 2 = 1) SELECT count(*) AS conversations, round(avg(len(conv) // 2), 6) AS avg_rounds, round(any_value(r.t), 6) AS avg_response_tokens FROM c, r",
     "conv_sample": f"WITH {_C} SELECT id FROM c WHERE coalesce(list_sum(list_transform(conv, lambda m: coalesce(length(m.v), 0))), 0) <= 1500",
-    "conv_train_test": "SELECT 'train' AS part, floor(0.9::DOUBLE * count(*))::BIGINT AS n FROM battles UNION ALL SELECT 'test', count(*) - floor(0.9::DOUBLE * count(*))::BIGINT FROM battles",
+    "conv_train_test": "WITH p AS (SELECT battle_id AS id, row_number() OVER (ORDER BY ('0x' || substr(md5('0:' || battle_id), 1, 15))::BIGINT, battle_id) AS n, count(*) OVER () AS t FROM battles) SELECT id, CASE WHEN n <= floor(0.9::DOUBLE * t) THEN 'train' ELSE 'test' END AS part FROM p",
+    "conv_shuffle": "SELECT battle_id AS id, ('0x' || substr(md5('42:' || battle_id), 1, 15))::BIGINT AS place FROM battles",
     "conv_merge": f"WITH {_C} SELECT id::VARCHAR AS id, model, len(conv)::INT AS turns, 0 AS part FROM c UNION ALL SELECT question_id::VARCHAR, NULL, len(turns)::INT, 1 FROM question",
-    "conv_filter_format": r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '\n1\. [^2]*\n1\. ')",
-    "doc_repetition_filter": "SELECT doc_id FROM documents WHERE regexp_matches(regexp_replace(text, '[1-7]', '8', 'g'), '" + "|".join(f"{d}{{9}}" for d in "0123456789") + "')",
+    "conv_filter_format": r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text || CASE doc_id % 5 WHEN 0 THEN chr(10) || '1. one' || chr(10) || '1. again' WHEN 1 THEN chr(10) || '1. one' || chr(10) || '2. two' || chr(10) || '1. new' ELSE '' END, '\n1\. [^2]*\n1\. ')",
+    "doc_repetition_filter": "SELECT doc_id FROM documents WHERE regexp_matches(text || repeat((doc_id % 10)::VARCHAR, (doc_id % 4 + 7)::INT), '" + "|".join(f"{d}{{9}}" for d in "0123456789") + "')",
     "doc_lang_keep": "SELECT doc_id, lower(trim(lang)) AS code FROM documents WHERE coalesce(lower(trim(lang)), 'unknown') IN ('en', 'de', 'unknown')",
     "doc_lang_skip": "SELECT doc_id, lower(trim(lang)) AS code FROM documents WHERE coalesce(lower(trim(lang)), 'unknown') NOT IN ('en', 'und')",
     "doc_dedup_first": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text",

@@ -99,12 +99,20 @@ def file_round_trip(spark, sf_dir):
 
 
 def answer_directory(spark, sf_dir):
-    """Answers written as one file per model and read back by file name, last line per question."""
+    """Answers written as one file per model, a question's answers in order of their ids, and read
+    back by file name: the last line of a question counts."""
     a = table(spark, sf_dir, "model_answer").dropDuplicates(["answer_id"])
     path = f"{shared_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
-    a.select("question_id", "answer_id", "model_id", "choices", "tstamp").withColumn("m", F.col("model_id")).repartition("m").write.partitionBy("m").json(path)
-    read = files.json_lines(spark, path, files.ANSWER + ", m string")
-    return read.groupBy(F.col("m").alias("model")).agg(F.count(F.lit(1)).alias("answers"), F.countDistinct("question_id").alias("questions"))
+    a.select("question_id", "answer_id", "model_id", "choices", "tstamp").withColumn("m", F.col("model_id")).repartition("m").sortWithinPartitions("m", "answer_id").write.partitionBy("m").json(path)
+    # the format names a file by its model: one rename for each
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}-named"))
+    for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/m=*/*.json")):
+        model = f.getPath().getParent().getName()[2:]
+        fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}-named/{model}.jsonl"))
+    read = files.answer_directory(spark, f"{path}-named")
+    return read.select("model", "question_id", "answer_id")
 
 
 def leaderboard_csv(spark, sf_dir):
@@ -140,9 +148,9 @@ def text_functions(spark, sf_dir):
 def quantised(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     vec = next(c for c, t in e.dtypes if t.startswith("array"))
-    q = e.select(e.columns[0], F.transform(F.slice(vec, 1, 16), lambda x: x.cast("double")).alias("v")).withColumn("q", text.quantise("v"))
+    q = e.select("vec_id", F.transform(vec, lambda x: x.cast("double")).alias("v")).withColumn("q", text.quantise("v"))
     worst = F.array_max(F.zip_with("v", text.dequantise("q"), lambda a, b: F.abs(a - b)))
-    return q.select(F.col(e.columns[0]).alias("id"), F.size("q.q").alias("n"), (worst <= (F.array_max("v") - F.array_min("v")) / 255).alias("close"))
+    return q.select(F.col("vec_id").alias("id"), F.array_join(F.transform("q.q", lambda x: x.cast("string")), " ").alias("codes"), (worst <= 0.501 * (F.array_max("v") - F.array_min("v")) / 255).alias("close"))
 
 
 def top_models(spark, sf_dir):
@@ -166,12 +174,12 @@ SQL = {
     "stream_delta": f"WITH {_CH} SELECT battle_id, seq, substring(t, (seq - 1) * 200 + 1, 200) AS delta FROM s",
     "stream_last_chunk": f"WITH {_CH} SELECT battle_id, md5(any_value(t)) AS digest, count(*) AS chunks FROM s GROUP BY battle_id",
     "file_round_trip": "SELECT question_id, category, array_to_string(turns, '|') AS turns FROM question",
-    "answer_directory": "WITH a AS (SELECT DISTINCT answer_id, model_id, question_id FROM model_answer) SELECT model_id AS model, count(*) AS answers, count(DISTINCT question_id) AS questions FROM a GROUP BY model_id",
+    "answer_directory": "SELECT model_id AS model, question_id, max(answer_id) AS answer_id FROM model_answer GROUP BY ALL",
     "leaderboard_csv": """SELECT * FROM (VALUES ('<a target="_blank" href="http://a.example">a-7b</a>', 1050, 6.12::DOUBLE, 45.2::DOUBLE, 43.8::DOUBLE, 'open'), ('b-13b', NULL, 7.0::DOUBLE, NULL, NULL, 'open'), ('<a target="_blank" href="http://c.example">c-1b</a>', 990, 2.67::DOUBLE, 12.5::DOUBLE, 10.0::DOUBLE, 'closed')) v(model, elo, score, win_rate, mmlu, license)""",
     "feature_csv": "SELECT question_id * 1 / 4.0::DOUBLE AS entropy, question_id * 5 / 4.0::DOUBLE AS perplexity, question_id * 11 / 4.0::DOUBLE AS label FROM question",
     "html_board": "SELECT '<tr><td>' || coalesce(m, '-') || '</td><td>' || count(*) || '</td><td>-</td></tr>' AS html FROM (SELECT lower(trim(model_a)) AS m FROM battles) GROUP BY m",
     "serving_guards": "WITH b AS (SELECT battle_id, conversation_a[1].content AS t, turn FROM battles) SELECT battle_id, CASE WHEN length(trim(coalesce(t, ''))) = 0 THEN 'empty' WHEN turn >= 50 THEN 'turn_limit' WHEN length(t) > 60 THEN 'cut' ELSE 'ok' END AS guard, CASE WHEN turn <= 0 THEN 'max_tokens' WHEN battle_id % 5 - 1 < 0 OR battle_id % 5 - 1 > 2 THEN 'temperature' END AS error, len(string_split(t, ' ')) + 40 <= 60 AS fits, coalesce(turn, 2048) AS context FROM b",
     "text_functions": r"SELECT doc_id, array_to_string(regexp_split_to_array(trim(text, ' '), '[ \t\n\x0b\f\r]+')[1:4], ' ') AS first, CASE WHEN contains(text, chr(10)) THEN instr(text, chr(10)) - 1 ELSE length(text) END::INT AS cut, ends_with(text, '.') OR ends_with(text, '.' || chr(10)) AS partial, md5(regexp_replace(regexp_replace(text, '(?m)^[ \t\n\x0b\f\r]*• ?', '- ', 'g'), '\n\n(\d+\. )', E'\n\\1', 'g')) AS tidy, regexp_extract('a/' || coalesce(source, 'x') || '/', '([^/]*)/?$', 1) AS base, CASE WHEN contains(lower(text), 'assistant') THEN 'chat' WHEN contains(lower(text), 'def ') THEN 'code' ELSE 'base' END AS rule FROM documents WHERE text IS NOT NULL",
-    "quantised": "SELECT vec_id AS id, 16 AS n, true AS close FROM embeddings",
+    "quantised": "WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings) SELECT id, array_to_string(list_transform(v, lambda x: CASE WHEN hi > lo THEN floor((x - lo) * (255 / (hi - lo)) + 0.5) ELSE floor(x - lo + 0.5) END::INT), ' ') AS codes, true AS close FROM e",
     "top_models": "WITH b AS (SELECT lower(trim(model_a)) AS model, count(*)::DOUBLE AS w FROM battles GROUP BY 1), c AS (SELECT *, sum(w) OVER (ORDER BY model) AS c, sum(w) OVER () AS t FROM b) SELECT model, w FROM c WHERE (c - w) / t <= 0.5 AND c / t > 0.5",
 }

@@ -39,9 +39,10 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def answer_directory(spark: SparkSession, path: str) -> DataFrame:
     """All answer files of a directory; the model is the file's name, the last line of a question counts."""
-    rows = json_lines(spark, path, ANSWER).withColumn("model", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1)).withColumn("_at", F.monotonically_increasing_id())
-    last = F.row_number().over(W.partitionBy("model", "question_id").orderBy(F.desc("_at")))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n", "_at")
+    rows = json_lines(spark, path, ANSWER).withColumn("model", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1)).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_at", F.monotonically_increasing_id())
+    # file order: by block of the file, then by place in the block
+    last = F.row_number().over(W.partitionBy("model", "question_id").orderBy(F.desc("_block"), F.desc("_at")))
+    return rows.withColumn("_n", last).where("_n = 1").drop("_n", "_at", "_block")
 
 
 def model_list(spark: SparkSession, path: str) -> DataFrame:
@@ -107,6 +108,32 @@ def write_split(df: DataFrame, path: str, part: str = "part", mode: str = "error
     df.write.mode(mode).partitionBy(part).json(path)
 
 
+def pretty(spark: SparkSession, path: str, out: str, schema: str) -> None:
+    """A JSON file read and written again, one row per line: the data stay as they are."""
+    write_array(json_array(spark, path, schema).orderBy("pos").drop("pos"), out)
+
+
+def write_results(results: dict[str, DataFrame], root: str, mode: str = "errorifexists") -> None:
+    """Named results as one table each."""
+    for name, df in results.items():
+        df.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
+
+
+def read_results(spark: SparkSession, root: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{root.rstrip('/')}/{n}") for n in names}
+
+
+def key_values(df: DataFrame, key: str) -> DataFrame:
+    """The values of one key of all records that have it."""
+    return df.select(F.col(key).alias("value")).where("value is not null")
+
+
+def inspected(df: DataFrame, begin: int = 0, n: int = 5, pos: str = "pos") -> str:
+    """Some rows as text for a console: a report of at most ``n`` rows from a place on."""
+    rows = df.where((F.col(pos) >= begin) & (F.col(pos) < begin + n)).orderBy(pos).collect()
+    return "\n".join(f"{c}: {r[c]}" for r in rows for c in df.columns)
+
+
 def markdown_table(df: DataFrame, rows: int = 1000) -> str:
     """A small report as a markdown table."""
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)

@@ -125,6 +125,29 @@ def last_chunks(chunks: DataFrame, request: str, seq: str, text: str) -> DataFra
     return chunks.groupBy(request).agg(F.max_by(text, seq).alias(text), F.count(F.lit(1)).alias("chunks"))
 
 
+def stopped(chunks: DataFrame, text: str, stop: str) -> DataFrame:
+    """Chunks of a growing reply as they may be shown: cut before the first stop string, and without
+    an end that may become one; ``finished`` tells whether the stop was found."""
+    at, size = F.instr(F.col(text), stop), F.char_length(text)
+    # the longest beginning of the stop string that the text ends with
+    held = F.coalesce(*[F.when(F.col(text).endswith(stop[:k]), F.substring(F.col(text), F.lit(1), size - k)) for k in range(len(stop) - 1, 0, -1)], F.col(text))
+    return chunks.withColumn("shown", F.when(at > 0, F.substring(F.col(text), F.lit(1), at - 1)).otherwise(held)).withColumn("finished", at > 0)
+
+
+def elo_batches(path: str, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that carries the online Elo on: the ratings of each batch start from
+    those of the batch before, which are read back from ``path``; a batch that is run again
+    starts from the same ones. Batches come in the order of their battles."""
+    from palaver.operators.ratings import online_elo
+
+    def fold(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        start = {r["model"]: r["rating"] for r in spark.read.parquet(f"{path}/{epoch - 1}").collect()} if epoch else {}  # a list of models
+        online_elo(batch, order, start=start).write.mode("overwrite").parquet(f"{path}/{epoch}")
+
+    return fold
+
+
 def refreshed(events: DataFrame, report: Callable[[DataFrame, int], None], seconds: int = 300):
     """A query that calls ``report`` with each batch every ``seconds``."""
     return events.writeStream.foreachBatch(report).trigger(processingTime=f"{seconds} seconds")
