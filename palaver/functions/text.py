@@ -144,6 +144,18 @@ def input_guard(text: Column | str, turns: Column | str, cap: int = 2560, limit:
     return F.when(F.coalesce(F.char_length(F.trim(col(text))), F.lit(0)) == 0, "empty").when(col(turns) >= limit, "turn_limit").when(F.char_length(col(text)) > cap, "cut").otherwise("ok")
 
 
+def guarded_text(text: Column | str, cap: int = 2560) -> Column:
+    """What goes on of a user input: its first ``cap`` letters."""
+    return F.left(col(text), F.lit(cap))
+
+
+def is_stop(stop: Column | str) -> Column:
+    """Whether a request's ``stop``, given as JSON, is absent, a string or a list of strings."""
+    s = F.trim(col(stop))
+    strings = F.from_json(s, "array<string>")
+    return s.isNull() | (s == "null") | F.rlike(s, F.lit(r'^"([^"\\]|\\.)*"$')) | (s.startswith("[") & strings.isNotNull() & F.rlike(s, F.lit(r'^\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]$')))
+
+
 def request_error(max_tokens: Column | str, n: Column | str, temperature: Column | str, top_p: Column | str) -> Column:
     """First failing range check of a completion request, or null."""
     return (

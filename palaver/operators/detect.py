@@ -21,6 +21,11 @@ def exploded(sets: DataFrame, questions: str = "questions", duplicate: int | Non
     return sets.select("id", "gold", F.posexplode(items).alias("n", "input"))
 
 
+def with_instruction(rows: DataFrame, task: str) -> DataFrame:
+    """Add the instruction that the row's task stands for; null for an unknown task."""
+    return rows.withColumn("instruction", F.create_map(*[F.lit(x) for kv in TASKS.items() for x in kv])[F.col(task)])
+
+
 def grouped(rows: DataFrame, key: str, order: str, text: str, gold: str) -> DataFrame:
     """Groups in order: inputs as an ordered array, the first gold and id. A group is the set of
     generations for one instruction, which is small by construction; see ``group_counts``
@@ -68,10 +73,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def pooled(vectors: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
-    """Mean of the vectors of each group, scaled to length 1, element by element so that it
-    aggregates partially."""
-    parts = vectors.groupBy(group).agg(*[F.avg(F.get(vector, F.lit(k))).alias(f"v{k}") for k in range(dim)])
+def pooled(vectors: DataFrame, group: str, vector: str, dim: int, mask: Column | None = None) -> DataFrame:
+    """Mean of the vectors of each group, of those only that ``mask`` holds for, scaled to length 1,
+    element by element so that it aggregates partially. A group without any has nulls."""
+    one = lambda k: F.get(vector, F.lit(k)) if mask is None else F.when(mask, F.get(vector, F.lit(k)))
+    parts = vectors.groupBy(group).agg(*[F.avg(one(k)).alias(f"v{k}") for k in range(dim)])
     mean = F.array(*[F.col(f"v{k}") for k in range(dim)])
     norm = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x * x))
     return parts.select(group, F.transform(mean, lambda x: x / norm).alias("vector"))
@@ -86,6 +92,17 @@ def contradiction(rows: DataFrame, group: str, order: str, vector: str) -> DataF
     return first.select(group).join(scored, group, "left")
 
 
+def line_contradiction(lines: DataFrame, group: str, answer: str, vector: str) -> DataFrame:
+    """1 - mean over the later answers of a group of max(0, best cosine of one of their lines with
+    the first answer), whose own vector is that of its first line; null for a group of one answer.
+    ``lines`` has a row for each line that is not empty, ``line`` orders them."""
+    first = lines.groupBy(group).agg(F.min_by(vector, F.struct(answer, "line")).alias("v0"), F.min(answer).alias("a0"))
+    later = lines.join(first, group).where(F.col(answer) > F.col("a0"))
+    best = later.groupBy(group, answer).agg(F.max(cosine(F.col("v0"), F.col(vector))).alias("c"))
+    scored = best.groupBy(group).agg((1 - F.avg(F.greatest(F.lit(0.0), F.col("c")))).alias("contradiction"))
+    return first.select(group).join(scored, group, "left")
+
+
 def leader_clusters(rows: DataFrame, group: str, order: str, vector: str, threshold: float) -> DataFrame:
     """Greedy leader clustering in order: each item joins the first cluster whose first member
     has at least the cosine ``threshold`` with it, else founds one: (group, order, leader).

@@ -32,8 +32,11 @@ def pair_results(judgments: DataFrame, strict: bool = False) -> DataFrame:
     return rows.select(F.explode(F.array(row("model_1", first, second), row("model_2", second, first))).alias("r")).select("r.*")
 
 
-def pair_win_rates(judgments: DataFrame, baseline: str | None = None, strict: bool = False) -> DataFrame:
-    """Win, loss and tie counts and rates per model; with ``baseline`` only games against it."""
+def pair_win_rates(judgments: DataFrame, baseline: str | None = None, strict: bool = False, models: list[str] | None = None) -> DataFrame:
+    """Win, loss and tie counts and rates per model; with ``baseline`` only games against it, with
+    ``models`` only games between listed models."""
+    if models is not None:
+        judgments = judgments.where(F.col("model_1").isin(*models) & F.col("model_2").isin(*models))
     rows = judgments.where((F.col("model_1") == baseline) | (F.col("model_2") == baseline)) if baseline else judgments
     sums = pair_results(rows, strict).groupBy("model").agg(F.sum("win").alias("win"), F.sum("loss").alias("loss"), F.sum("tie").alias("tie"))
     if baseline:

@@ -94,3 +94,8 @@ def answer_pairs(messages: Column, words: int) -> Column:
 def label_mask(messages: Column) -> Column:
     """One flag per word of the rendered words: 1 for the assistant's words, 0 else."""
     return F.flatten(F.transform(messages, lambda m: F.array_repeat(F.when(m["role"] == "assistant", 1).otherwise(0), F.size(F.split(F.coalesce(m["content"], F.lit("")), " ")))))
+
+
+def checked_mask(mask: Column, words: Column) -> Column:
+    """The mask if it has a flag for each of the prompt's ``words``, else as many zeros."""
+    return F.when(F.size(mask) == words, mask).otherwise(F.array_repeat(F.lit(0), words.cast("int")))

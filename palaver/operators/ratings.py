@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.operators.curate import drawn
+from palaver.session import materialise
 
 K, SCALE, BASE, INIT = 4.0, 400.0, 10.0, 1000.0
 
@@ -26,13 +27,16 @@ def _points() -> Column:
     return F.when(F.col("winner") == "model_a", 1.0).when(F.col("winner") == "model_b", 0.0).when(F.col("winner").isin("tie", "tie (bothbad)"), 0.5)
 
 
-def online_elo(battles: DataFrame, order: list[str], k: float = K, scale: float = SCALE, base: float = BASE, init: float = INIT, start: dict[str, float] | None = None) -> DataFrame:
-    """(model, rating) after all battles in order; ``start`` has ratings from before (a list of models). The fold is serial by its definition: three
-    narrow columns go through one task in sorted order and only the ratings are held.
-    Rows without winner or model are left out."""
+def online_elo(battles: DataFrame, order: list[str], k: float = K, scale: float = SCALE, base: float = BASE, init: float = INIT, start: dict[str, float] | None = None, portion: int = 5_000_000) -> DataFrame:
+    """(model, rating) after all battles in order; ``start`` has ratings from before (a list of models).
+
+    The fold is serial by its definition. Battles are cut by range into parts of about ``portion``,
+    so no task sorts more than that; the parts are folded one after the other, three narrow
+    columns in sorted order, and only the ratings are handed on. Rows without winner or
+    model are left out."""
     rows = battles.select(*order, "model_a", "model_b", _points().alias("points")).where("points is not null and model_a is not null and model_b is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], start: dict[str, float] | None = None) -> Iterator[pa.RecordBatch]:
         ratings: dict[str, float] = dict(start or {})
         for b in batches:
             for x, y, p in zip(*(b.column(c).to_pylist() for c in ("model_a", "model_b", "points")), strict=True):
@@ -40,7 +44,18 @@ def online_elo(battles: DataFrame, order: list[str], k: float = K, scale: float
         if ratings:
             yield pa.RecordBatch.from_arrays([pa.array(list(ratings), pa.string()), pa.array(list(ratings.values()), pa.float64())], names=["model", "rating"])
 
-    return rows.repartition(1).sortWithinPartitions(*order).select("model_a", "model_b", "points").mapInArrow(run, "model string, rating double")
+    def folded(part: DataFrame) -> DataFrame:
+        before = dict(start or {})
+        return part.repartition(1).sortWithinPartitions(*order).select("model_a", "model_b", "points").mapInArrow(lambda batches: run(batches, before), "model string, rating double")
+
+    parts = -(-rows.count() // portion)
+    if parts > 1:
+        ranged = materialise(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+        held = [r[0] for r in ranged.select("part").distinct().orderBy("part").collect()]
+        for number in held[:-1]:
+            start = {r["model"]: r["rating"] for r in folded(ranged.where(F.col("part") == number)).collect()}
+        rows = ranged.where(F.col("part") == held[-1])
+    return folded(rows)
 
 
 def bootstrap_elo(battles: DataFrame, rounds: int = 1000, seed: int = 42) -> DataFrame:

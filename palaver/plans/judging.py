@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import text, verdicts
 from palaver.operators import judge
-from palaver.session import table
+from palaver.session import join_side, table
 
 
 def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = judge.last_rows(table(spark, sf_dir, "model_answer").select("answer_id", "question_id", "model_id").distinct(), ["question_id", "model_id"], ["answer_id"])
     names = last.select("model_id").distinct()
     place = names.withColumn("idx", F.row_number().over(W.orderBy("model_id")))  # a list of models
-    return last.join(F.broadcast(place), "model_id")
+    return last.join(join_side(place, names.count()), "model_id")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,7 +273,54 @@ def arena_throughput(spark, sf_dir):
     return arena.throughput(b, "p", "a", 100.0).select(F.round("words_per_second", 6).alias("words_per_second"))
 
 
-NAMES = ["model_cards", "model_priority", "elo_model_info", "worker_models", "worker_status", "usage_totals", "task_prompts", "prompt_by_template", "judge_pair_prompts", "judge_reference_join", "judge_vote_counts", "judge_called", "text_embedded", "answer_scored", "arena_anonymous_votes", "arena_matrix_filled", "conv_take", "conv_drawn", "elo_bootstrap_function", "elo_stream", "stream_stop", "feature_sets", "random_baseline", "json_texts", "result_tables", "file_formats", "stream_trailing", "shortest_queue", "text_marks", "arena_throughput"]
+def det_explode_tasks(spark, sf_dir):
+    """Paraphrases with the instruction of their task; every eighth task is unknown."""
+    names = [*detect.TASKS, "other"]
+    q = table(spark, sf_dir, "question")
+    sets = q.select(F.col("question_id").alias("id"), F.col("category").alias("gold"), F.array("turns").alias("questions"))
+    rows = detect.exploded(sets).withColumn("task", F.get(F.array(*[F.lit(n) for n in names]), (F.col("id") % len(names)).cast("int")))
+    return detect.with_instruction(rows, "task").select("id", "n", "task", "instruction")
+
+
+def det_first_definition(spark, sf_dir):
+    """The first question of each category; gold answers are looked at only afterwards."""
+    q = table(spark, sf_dir, "question").where("category is not null").select(F.col("category").alias("definition"), "question_id", F.get("reference", F.lit(0)).alias("gold"))
+    return judge.first_rows(q, ["definition"], ["question_id"]).where(detect.usable_gold()).select("definition", "question_id")
+
+
+def det_line_contradiction(spark, sf_dir):
+    """Embeddings as lines of answers, three each."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / 3).cast("bigint").alias("answer"), (F.col("vec_id") % 3).alias("line"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return detect.line_contradiction(e, "label", "answer", "v").withColumn("contradiction", F.round("contradiction", 5))
+
+
+def det_masked_pool(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    p = detect.pooled(e, "label", "v", 64, F.col("vec_id") % 3 != 0)
+    return p.select("label", *[F.round(F.get("vector", F.lit(k)), 5).alias(f"v{k}") for k in (0, 31, 63)])
+
+
+def prompt_mask_checked(spark, sf_dir):
+    """Label masks against the words of the prompt, one word too many for every fifth battle."""
+    mask = prompts.label_mask(F.col("m"))
+    words = F.aggregate(F.transform("m", lambda x: text.words(F.coalesce(x["content"], F.lit("")))), F.lit(0), lambda a, x: a + x) + F.when(F.col("battle_id") % 5 == 0, 1).otherwise(0)
+    checked = prompts.checked_mask(mask, words)
+    return _conv(spark, sf_dir).select("battle_id", F.size(checked).alias("words"), F.aggregate(checked, F.lit(0), lambda a, x: a + x).alias("kept"))
+
+
+def judge_pair_winrate_listed(spark, sf_dir):
+    r = judge.pair_win_rates(table(spark, sf_dir, "model_judgment"), models=["heron-13b", "lynx-7b", "ibis-30b", "civet-33b", "kestrel-xl"])
+    return r.select("model", "win", "loss", "tie")
+
+
+def serving_inputs(spark, sf_dir):
+    """The text that goes on of each first message, and whether a stop of some kind is one."""
+    stops = [None, "null", '"a"', '["a", "b"]', "3", '["a", 3]', "[]", '{"a": 1}']
+    b = table(spark, sf_dir, "battles").select("battle_id", F.get("conversation_a", F.lit(0))["content"].alias("t"), F.get(F.array(*[F.lit(x).cast("string") for x in stops]), (F.col("battle_id") % len(stops)).cast("int")).alias("stop"))
+    return b.select("battle_id", F.md5(text.guarded_text("t", 60)).alias("digest"), text.is_stop("stop").alias("stop"))
+
+
+NAMES = ["det_explode_tasks", "det_first_definition", "det_line_contradiction", "det_masked_pool", "prompt_mask_checked", "judge_pair_winrate_listed", "serving_inputs", "model_cards", "model_priority", "elo_model_info", "worker_models", "worker_status", "usage_totals", "task_prompts", "prompt_by_template", "judge_pair_prompts", "judge_reference_join", "judge_vote_counts", "judge_called", "text_embedded", "answer_scored", "arena_anonymous_votes", "arena_matrix_filled", "conv_take", "conv_drawn", "elo_bootstrap_function", "elo_stream", "stream_stop", "feature_sets", "random_baseline", "json_texts", "result_tables", "file_formats", "stream_trailing", "shortest_queue", "text_marks", "arena_throughput"]
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _B = "b AS (SELECT * REPLACE (nullif(lower(trim(model_a)), '') AS model_a, nullif(lower(trim(model_b)), '') AS model_b) FROM battles)"
@@ -302,6 +349,13 @@ def _fill_sql() -> str:
 _ELO = arena_plans.SQL["elo_online"]
 SQL = {
     "elo_stream": _ELO,
+    "det_explode_tasks": "WITH t AS (SELECT question_id AS id, unnest(range(len(turns)))::INT AS n, ['commonsense', 'arc', 'math', 'gsm8k', 'truthful', 'faviq', 'comqa', 'other'][question_id % 8 + 1] AS task FROM question) SELECT id, n, task, CASE WHEN task IN ('commonsense', 'arc') THEN 'Choose the right option.' WHEN task IN ('math', 'gsm8k') THEN 'Solve the problem.' WHEN task = 'truthful' THEN 'Answer truthfully.' WHEN task IN ('faviq', 'comqa') THEN 'Answer the question.' END AS instruction FROM t",
+    "det_first_definition": "WITH f AS (SELECT category AS definition, question_id, reference[1] AS gold FROM question WHERE category IS NOT NULL QUALIFY row_number() OVER (PARTITION BY category ORDER BY question_id) = 1) SELECT definition, question_id FROM f WHERE coalesce(gold, '') <> '' AND NOT contains(gold, 'en.wikipedia.org')",
+    "det_line_contradiction": "WITH v AS (SELECT label, vec_id // 3 AS a, vec_id, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT label, min(a) AS a0, arg_min(v, vec_id) AS v0 FROM v GROUP BY label), c AS (SELECT v.label, v.a, max(list_cosine_similarity(v.v, f.v0)) AS c FROM v JOIN f ON f.label = v.label AND v.a > f.a0 GROUP BY ALL) SELECT f.label, round(1 - avg(greatest(0.0::DOUBLE, c)), 5) AS contradiction FROM f LEFT JOIN c USING (label) GROUP BY f.label",
+    "det_masked_pool": f"WITH m AS (SELECT label, {', '.join(f'avg(embedding[{k + 1}]::DOUBLE) AS a{k}' for k in range(64))} FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label), n AS (SELECT *, sqrt({' + '.join(f'a{k} * a{k}' for k in range(64))}) AS norm FROM m) SELECT label, {', '.join(f'round(a{k} / norm, 5) AS v{k}' for k in (0, 31, 63))} FROM n",
+    "prompt_mask_checked": "WITH r AS (SELECT battle_id, list_transform(conversation_a, lambda m: {'n': len(string_split(coalesce(m.content, ''), ' ')), 'a': m.role = 'assistant'}) AS x FROM battles) SELECT battle_id, (coalesce(list_sum(list_transform(x, lambda y: y.n)), 0) + (battle_id % 5 = 0)::INT)::INT AS words, CASE WHEN battle_id % 5 = 0 THEN 0 ELSE coalesce(list_sum(list_transform(x, lambda y: CASE WHEN y.a THEN y.n ELSE 0 END)), 0) END::INT AS kept FROM r",
+    "judge_pair_winrate_listed": "WITH k AS (SELECT * FROM model_judgment WHERE model_1 IN ('heron-13b', 'lynx-7b', 'ibis-30b', 'civet-33b', 'kestrel-xl') AND model_2 IN ('heron-13b', 'lynx-7b', 'ibis-30b', 'civet-33b', 'kestrel-xl')), r AS (SELECT model_1, model_2, coalesce(g1_winner = 'tie' OR g1_winner <> g2_winner, true) OR g2_winner IS NULL AS t, coalesce(g1_winner = 'model_1', false) AS one FROM k), u AS (SELECT model_1 AS model, (NOT t AND one)::INT AS w, (NOT t AND NOT one)::INT AS l, t::INT AS t FROM r UNION ALL SELECT model_2, (NOT t AND NOT one)::INT, (NOT t AND one)::INT, t::INT FROM r) SELECT model, sum(w)::BIGINT AS win, sum(l)::BIGINT AS loss, sum(t)::BIGINT AS tie FROM u GROUP BY model",
+    "serving_inputs": "SELECT battle_id, md5(substring(conversation_a[1].content, 1, 60)) AS digest, battle_id % 8 IN (0, 1, 2, 3, 6) AS stop FROM battles",
     "elo_model_info": f"WITH {_REG}, r AS ({_ELO}) SELECT r.model, floor(rating + 0.5)::INT AS rating, family AS simple_name, CASE WHEN family IS NOT NULL THEN 'http://models.example/' || r.model END AS link FROM r LEFT JOIN reg USING (model)",
     "model_cards": f"WITH {_B}, {_REG}, {_MODELS}, k AS (SELECT m.model, coalesce(family, m.model) AS s, CASE WHEN family IS NULL THEN m.model || ': no description' ELSE family || ': a model of the ' || family || ' family' END AS t FROM m LEFT JOIN reg USING (model)), f AS (SELECT s, arg_min(t, model) AS t, row_number() OVER (ORDER BY min(model)) - 1 AS n FROM k GROUP BY s) SELECT (n // 3)::INT AS row, (n % 3)::INT AS column, s AS simple_name, t AS text FROM f",
     "model_priority": f"WITH {_B}, {_REG}, {_MODELS} SELECT m.model, row_number() OVER (ORDER BY place NULLS LAST, m.model) AS priority FROM m LEFT JOIN reg USING (model)",
