@@ -84,6 +84,20 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+def sizes_of(text: str) -> tuple[int, ...]:
+    """The same lengths of one text, in the order of ``MEASURES``."""
+    points, utf8, beyond, wide = len(text), len(text), 0, 0
+    if not text.isascii():
+        utf8 = len(text.encode("utf-8", "surrogatepass"))
+        beyond = len(text.encode("utf-16-le", "surrogatepass")) // 2 - points
+        wide = points - len(text.encode("ascii", "ignore"))
+    n = text.count
+    lines, marks = n("\n"), n('"')
+    quoted = lines + marks + n("\\") + n("\t") + n("\r")
+    html = points + 4 * (n("&") + n("'")) + 5 * marks + 3 * (n("<") + n(">"))
+    return points, utf8, points + beyond, points + quoted, points + quoted + 5 * wide + 6 * beyond, html, points + lines, utf8 + lines
+
+
 def hidden_limits(turns: DataFrame, source: str = "model_id", text: str = "text", least: int = 4, share: float = 0.01, excess: float = 6.0, slack: int = 3) -> DataFrame:
     """(source, measure, size, texts, longer): sizes that look like storage limits of a source.
 
@@ -461,7 +475,16 @@ _ITEMS = re.compile(r"^[ \t]*(?:[-•–+]|\d{1,3}[.)])[ \t]+", re.M)
 
 def is_refusal(text: str) -> bool:
     """Whether a text declines and gives nothing else: every sentence declines, or is a filler
-    or a courtesy, and at least one declines."""
+    or a courtesy, and at least one declines. Sentences end at line breaks at the latest, so a
+    first line that gives something decides alone."""
+    end = text.find("\n")
+    if end > 0 and "<!--" not in text and _declining(text[:end]) is None:
+        return False
+    return bool(_declining(text))
+
+
+def _declining(text: str) -> bool | None:
+    """Whether some sentence declines; None if one gives something else."""
     t = _TAGS.sub(" ", skeleton(text)) if text.isascii() else _TAGS.sub(" ", text)
     t = _ITEMS.sub("", re.sub(r"[*_#`>~]+", " ", t)).strip()
     declined = False
@@ -471,7 +494,7 @@ def is_refusal(text: str) -> bool:
         if not _NOT_ALL.search(p) and declines(p):
             declined = True
         elif not _COURTESY.search(p):
-            return False
+            return None
     return declined
 
 
@@ -623,7 +646,7 @@ def main_language(reader: Reader, text: str, min_letters: int = 12, least: float
 LOOKED = "what string, answer_id string, question_id bigint, model_id string, choice_index int, turn_index int, judged boolean, found string, other_language boolean, verdict string, kind string, words string, final string, goes_on bigint, ends bigint, closes bigint"
 
 
-def inspect(slots: DataFrame, model: Model | None) -> DataFrame:
+def inspect(slots: DataFrame, model: Model | None, only_cut: bool = False) -> DataFrame:
     """All that is asked of the texts, in one pass and without the texts. Two sorts of rows:
 
     ``what`` = turn: a slot with its sizes (``MEASURES``), ``found`` (empty, copy, refusal or
@@ -631,12 +654,12 @@ def inspect(slots: DataFrame, model: Model | None) -> DataFrame:
     asks for; null without ``model``), and verdict, kind, ``words`` and ``final`` of its ending (null without a text).
     ``what`` = use: how often ``words`` go on, end a complete line and close a text
     (see ``count_usage``), counted in each batch first, so only distinct words are shuffled.
+    With ``only_cut`` a turn whose ending is whole is not looked at further: ``found`` is null.
     """
     shared = slots.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([LOOKED, *[f"{m} bigint" for m in MEASURES]])
     names = [x.split()[0] for x in schema.split(", ")]
     types = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(", ")]
-    sizes = [F.coalesce(m, F.lit(0)).cast("bigint").alias(n) for n, m in measures(F.col("text")).items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value) if shared.value is not None else None
@@ -648,9 +671,24 @@ def inspect(slots: DataFrame, model: Model | None) -> DataFrame:
             found, other, ends = [], [], []
             uses: list[tuple[str, str, str, int]] = []
             of_prompt: dict[str, tuple[str, set[str]]] = {}
+            sizes: list[tuple[int, ...]] = []
             for prompt, text, j in zip(prompts, texts, judged, strict=True):
-                what = "empty" if is_empty(text) else "copy" if prompt and is_copy(prompt, text) else "refusal" if is_refusal(text) else None
-                found.append(what if j else None)
+                verdict = None
+                if text is None:
+                    ends.append((None, None, None, None))
+                    sizes.append((0,) * len(MEASURES))
+                else:
+                    tail = text.rstrip("\u200b\u200c\u200d\u2060\ufeff\u200e\u200f").rstrip()
+                    parsed = parse(tail)
+                    verdict, kind, last = ending(text, parsed)
+                    line = {"item": "i", "verse": "v"}.get(kind, "p")
+                    ends.append((verdict, kind, f"{line} {last}", f"{line}1 {last.rpartition(' ')[2]}"))
+                    sizes.append(sizes_of(text))
+                    uses.extend(word_uses(parsed[0]))
+                what = None
+                if j and not (only_cut and verdict == "whole"):
+                    what = "empty" if is_empty(text) else "copy" if prompt and is_copy(prompt, text) else "refusal" if is_refusal(text) else None
+                found.append(what)
                 foreign = None
                 if reader and j and what is None and prompt:
                     if prompt not in of_prompt:
@@ -659,37 +697,29 @@ def inspect(slots: DataFrame, model: Model | None) -> DataFrame:
                     lang = main_language(reader, text) if own != UNDETERMINED else UNDETERMINED
                     foreign = UNDETERMINED not in (lang, own) and lang != own and lang not in asked
                 other.append(foreign)
-                if text is None:
-                    ends.append((None, None, None, None))
-                    continue
-                tail = text.rstrip("\u200b\u200c\u200d\u2060\ufeff\u200e\u200f").rstrip()
-                parsed = parse(tail)
-                verdict, kind, last = ending(text, parsed)
-                line = {"item": "i", "verse": "v"}.get(kind, "p")
-                ends.append((verdict, kind, f"{line} {last}", f"{line}1 {last.rpartition(' ')[2]}"))
-                uses.extend(word_uses(parsed[0]))
             count = count_usage(uses)
             n, k = b.num_rows, len(count)
             verdicts = list(zip(*ends, strict=True)) if ends else [()] * 4
             nothing = [None] * k
             columns = [["turn"] * n + ["use"] * k, *[b.column(c).to_pylist() + nothing for c in range(5)], judged + nothing, found + nothing, other + nothing, list(verdicts[0]) + nothing, list(verdicts[1]) + nothing, list(verdicts[2]) + list(count), list(verdicts[3]) + nothing]
             columns += [[None] * n + [c[i] for c in count.values()] for i in range(3)]
-            columns += [b.column(8 + i).to_pylist() + nothing for i in range(len(MEASURES))]
+            columns += [[x[i] for x in sizes] + nothing for i in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return slots.select("answer_id", "question_id", "model_id", F.col("choice_index").cast("int"), F.col("turn_index").cast("int"), "judged", "prompt", "text", *sizes).mapInArrow(run, schema)
+    return slots.select("answer_id", "question_id", "model_id", F.col("choice_index").cast("int"), F.col("turn_index").cast("int"), "judged", "prompt", "text").mapInArrow(run, schema)
 
 
-def defects(answers: DataFrame, questions: DataFrame, model: Model | None) -> DataFrame:
+def defects(answers: DataFrame, questions: DataFrame, model: Model | None, only_cut: bool = False) -> DataFrame:
     """(answer_id, choice_index, turn_index, model_id, defect_type, kind, at_limit) of every answer
     turn, one per prompt of its question; ``defect_type`` is null for sound turns. Without
-    ``model`` no language is read and wrong_language is not found, the other types are.
+    ``model`` no language is read and wrong_language is not found; with ``only_cut`` no type but
+    truncated is found for certain.
 
     Order where several would hold: empty, copy, refusal, truncated, wrong_language. A turn
     whose question is unknown is judged without a prompt; a turn beyond the prompts is not
     judged, but counts for the limits and the use of words.
     """
-    looked = materialise(inspect(answer_slots(answers, questions), model))
+    looked = materialise(inspect(answer_slots(answers, questions), model, only_cut))
     cut = broken_off(looked)
     kind = F.coalesce("found", F.when(F.col("broken"), "truncated"), F.when(F.col("other_language"), "wrong_language"))
     columns = ["answer_id", "choice_index", "turn_index", "model_id"]

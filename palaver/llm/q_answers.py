@@ -13,7 +13,7 @@ from palaver.session import table
 def _defects(spark: SparkSession, sf_dir: str, languages: bool = True) -> DataFrame:
     answers, questions = table(spark, sf_dir, "model_answer"), table(spark, sf_dir, "question")
     model = fit(table(spark, sf_dir, "documents").select("lang", "text"), "text", "lang") if languages else None
-    return defects(answers, questions, model)
+    return defects(answers, questions, model, only_cut=not languages)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,9 @@ def test_lengths_under_encodings(spark):
     t = 'é"\n<&😀'
     from pyspark.sql import functions as F
 
+    for x in (t, "", "plain", "a\\b\t'c'\r\n&<>", "ß\n" * 50, "😀é" * 9):
+        one = spark.createDataFrame([(x,)], "t string").select(*[m.alias(n) for n, m in A.measures(F.col("t")).items()]).first()
+        assert tuple(int(v) for v in one) == A.sizes_of(x), x
     row = spark.createDataFrame([(t,)], "t string").select(*[m.alias(n) for n, m in A.measures(F.col("t")).items()]).first()
     import html
     import json
@@ -161,3 +164,5 @@ def test_defects(spark):
     assert out.count() == len(got)
     assert got == {("a", 0): None, ("a", 1): "empty", ("b", 0): None, ("b", 1): "empty", ("c", 0): "copy", ("c", 1): "refusal", ("d", 0): "wrong_language", ("e", 0): "truncated", ("g", 0): None, ("h", 0): None}
     assert A.defects(df.limit(0), q, model).count() == 0
+    cut = A.defects(df, q, None, only_cut=True).where("defect_type = 'truncated'").collect()
+    assert {(r.answer_id, r.turn_index) for r in cut} == {k for k, v in got.items() if v == "truncated"}
