@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.functions.text import day_of, half_up, time_of
+from palaver.functions.text import IDENTITY_WORDS, day_of, half_up, time_of
 from palaver.operators import arena, ratings
 from palaver.session import canonical_name, table
 
@@ -118,7 +118,7 @@ NAMES = ["arena_status_counts", "arena_battles_clean", "arena_battles_release",
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _B = "b AS (SELECT * REPLACE (lower(trim(model_a)) AS model_a, lower(trim(model_b)) AS model_b) FROM battles)"
-_LEAK = "vicuna|lmsys|koala|uc berkeley|open assistant|laion|chatglm|chatgpt|openai|anthropic|claude|bard|palm|lamda|google|network error due to high traffic. please regenerate or refresh this page."
+_LEAK = "|".join(IDENTITY_WORDS)
 _LOG = f"""{_B}, e AS (SELECT *, CASE WHEN battle_id % 17 = 0 THEN 'share' WHEN winner IS NULL THEN NULL ELSE winner END AS kind,
   CASE WHEN anony THEN '' ELSE model_a END AS pa, CASE WHEN battle_id % 13 = 0 THEN '' WHEN anony THEN '' ELSE model_b END AS pb,
   lower(coalesce(array_to_string(list_transform(list_filter(CASE WHEN battle_id % 11 = 0 THEN [] ELSE conversation_a END, lambda m: m.content IS NOT NULL AND m.content <> ''), lambda m: m.content), ''), '')
