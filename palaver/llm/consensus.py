@@ -95,10 +95,11 @@ def _leading(slim: DataFrame, size: int, rounds: int, tol: float) -> DataFrame:
         inner = sum(F.col(c) * (F.col(f"t{c}") - F.col("y") * F.col(c)) for c in SIDES)
         image = held.join(sums, "item").groupBy("annotator").agg((F.sum(inner) / F.sqrt(F.max("d"))).alias("mx"), F.max("x").alias("x"), F.max("d").alias("d"), F.max("group").alias("group"), F.min("least").alias("least"))
         image = cut(image)
-        per = image.groupBy("group").agg(F.sum(F.col("x") * F.col("mx")).alias("value"), F.sum(F.col("mx") ** 2).alias("square"))
-        moved, residual = image.agg(F.count_if(F.col("group") != F.col("least"))).first()[0], per.agg(F.max(F.sqrt(F.greatest(F.col("square") - F.col("value") ** 2, F.lit(0.0))) / F.abs("value"))).first()[0]
+        per = image.groupBy("group").agg(F.sum(F.col("x") * F.col("mx")).alias("value"), F.sum(F.col("mx") ** 2).alias("square"), F.count_if(F.col("group") != F.col("least")).alias("moved"))
+        moved, residual = per.agg(F.coalesce(F.sum("moved"), F.lit(0)), F.max(F.sqrt(F.greatest(F.col("square") - F.col("value") ** 2, F.lit(0.0))) / F.abs("value"))).first()
+        per = per.select("group", "value")
         if not moved and (residual is None or residual <= tol):
-            return image.join(per, "group").select("annotator", "d", "x", "value", "group")
+            return image.join(join_side(per, size), "group").select("annotator", "d", "x", "value", "group")
         step = image.join(join_side(per, size), "group").withColumn("next", F.col("mx") + 0.25 * F.abs("value") * F.col("x"))
         state = _unit(step.select("annotator", "d", F.col("least").alias("group"), F.when(F.col("next") == 0, F.col("x")).otherwise(F.col("next")).alias("x"), "value"))
     raise NotConverged(f"no leading vector after {rounds} rounds: residual {residual} of the eigenvalue, {moved} annotators change their group")
