@@ -203,12 +203,13 @@ class LeaderScan:
         self.units[len(unit)] = numbers, known
 
 
-def feature_join(generations: DataFrame, groups: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
-    """Generations with the features of their group and their label; on repeated keys of the
-    right sides the last row counts; generations without either are left out."""
-    g = groups.groupBy(key).agg(*[F.max_by(c, "pos").alias(c) for c in groups.columns if c not in (key, "pos")])
-    lab = labels.groupBy(text).agg(*[F.max_by(c, "pos").alias(c) for c in labels.columns if c not in (text, "pos")])
-    return generations.join(g, key).join(lab, text)
+def feature_join(generations: DataFrame, groups: DataFrame, labels: DataFrame, key: str, text: str, own: DataFrame | None = None) -> DataFrame:
+    """Generations with the features of their group and their label, and with ``own`` those of the
+    group of answers to the question itself (columns get the end ``_self``); on repeated keys of a
+    right side the row with the last ``pos`` counts; generations without one of them are left out."""
+    last = lambda df, by, end="": df.groupBy(by).agg(*[F.max_by(c, "pos").alias(c + end) for c in df.columns if c not in (by, "pos")])
+    joined = generations.join(last(groups, key), key).join(last(labels, text), text)
+    return joined.join(last(own, key, "_self"), key) if own is not None else joined
 
 
 def usable_gold(c: str = "gold") -> Column:

@@ -156,11 +156,17 @@ def instruction_to_conv(spark, sf_dir):
     return curate.instruction_rows(q).select("id", F.get("conversations", F.lit(0))["value"].alias("prompt"), F.get("conversations", F.lit(1))["value"].alias("answer"))
 
 
-IDENTITY = [(["Who are you?", "What is your name?"], ["I am {name}, a model of {org}.", "My name is {name}."]), (["Who made you?"], ["I was made by {org}.", "{org} made me.", "The people of {org}."])]
+# Questions and answers about identity by rule: openings times ends. The groups have 12 x 6, 7 x 7 and 68 x 12 pairs.
+IDENTITY = [
+    ((["Who", "Say who", "Tell me who"], [" are you?", " you are.", " you really are.", " I am talking to."]), (["I am {name}", "My name is {name}"], [".", ", a model of {org}.", ", made by {org}."])),
+    ((["Who made you", "Who trained you", "Who built you", "Who wrote you", "Who runs you", "Who owns you", "Who tests you"], ["?"]), (["{org}", "People of {org}", "A group at {org}", "The makers of {name}", "Those behind {name}", "It was {org}", "That is {org}"], ["."])),
+    ((["Are you ", "You are ", "Is your name ", "Do they call you "], [f"model {k}?" for k in range(1, 18)]), (["No", "No, not at all", "Not me", "You mix me up"], [", I am {name}.", ". I am {name} of {org}.", ". My name is {name}."])),
+]
 
 
 def identity_rows(spark, sf_dir):
-    return curate.identity_rows(spark, "Palaver", "the team", IDENTITY).select("id", F.get("conversations", F.lit(0))["value"].alias("question"), F.get("conversations", F.lit(1))["value"].alias("answer"))
+    groups = [([o + e for o in qs for e in qe], [o + e for o in ans for e in ae]) for (qs, qe), (ans, ae) in IDENTITY]
+    return curate.identity_rows(spark, "Palaver", "the team", groups).select("id", F.get("conversations", F.lit(0))["value"].alias("question"), F.get("conversations", F.lit(1))["value"].alias("answer"))
 
 
 def doc_every_fifth(spark, sf_dir):
@@ -207,6 +213,16 @@ _W = "len(string_split({}, ' '))"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+def _identity_sql() -> str:
+    """The products of openings and ends, numbered by group, question and answer."""
+    parts = []
+    for g, pair in enumerate(IDENTITY):
+        q, a = ((f"[{', '.join(_text(x.replace('{name}', 'Palaver').replace('{org}', 'the team')) for x in side[0])}]", f"[{', '.join(_text(x.replace('{name}', 'Palaver').replace('{org}', 'the team')) for x in side[1])}]", len(side[1])) for side in pair)
+        nq, na = len(pair[0][0]) * len(pair[0][1]), len(pair[1][0]) * len(pair[1][1])
+        parts.append(f"SELECT {g} AS g, i, j, {q[0]}[i // {q[2]} + 1] || {q[1]}[i % {q[2]} + 1] AS question, {a[0]}[j // {a[2]} + 1] || {a[1]}[j % {a[2]} + 1] AS answer FROM range({nq}) q(i), range({na}) a(j)")
+    return f"SELECT 'identity_' || (row_number() OVER (ORDER BY g, i, j) - 1) AS id, question, answer FROM ({' UNION ALL '.join(parts)})"
+
+
 def _text(x: str) -> str:
     return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
@@ -231,7 +247,7 @@ SQL = {
     "doc_length_hist": f"SELECT floor({_W.format('text')} / 20.0::DOUBLE)::BIGINT AS bucket, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "doc_counts": "SELECT nullif(lower(trim(source)), '') AS source, count(*) AS n, sum(length(text))::BIGINT AS chars, min(md5(text)) AS least_md5 FROM documents GROUP BY 1",
     "instruction_to_conv": "SELECT 'alpaca_' || question_id AS id, CASE WHEN length(trim(coalesce(turns[2], ''))) > 1 THEN turns[1] || chr(10) || 'Input:' || chr(10) || turns[2] ELSE turns[1] END AS prompt, coalesce(category, '') AS answer FROM question",
-    "identity_rows": "SELECT * FROM (VALUES ('identity_0', 'Who are you?', 'I am Palaver, a model of the team.'), ('identity_1', 'Who are you?', 'My name is Palaver.'), ('identity_2', 'What is your name?', 'I am Palaver, a model of the team.'), ('identity_3', 'What is your name?', 'My name is Palaver.'), ('identity_4', 'Who made you?', 'I was made by the team.'), ('identity_5', 'Who made you?', 'the team made me.'), ('identity_6', 'Who made you?', 'The people of the team.')) v(id, question, answer)",
+    "identity_rows": _identity_sql(),
     "doc_every_fifth": "SELECT doc_id FROM documents WHERE doc_id % 5 = 0",
     "conv_long_pairs": f"WITH {_C} SELECT id FROM c WHERE len(regexp_extract_all(conv[1].v, '[^ \\t\\n\\r\\f\\v]+')) > 5 AND len(regexp_extract_all(conv[2].v, '[^ \\t\\n\\r\\f\\v]+')) > 5",
     "page_strip_tags": rf"""WITH p AS (SELECT * FROM (VALUES {', '.join(f"({k}, {_text(x)}, {_text(y)})" for k, (x, y) in enumerate(PAGE_PARTS))}) v(k, head, tail)),

@@ -139,11 +139,14 @@ def det_reward_ladder(spark, sf_dir):
 
 
 def det_feature_join(spark, sf_dir):
+    """Features of the clusters by language, and as own ones by winner; an outdated row of each group comes first."""
     g = generations(spark, sf_dir)
-    groups = detect.cluster_entropy(g.withColumn("cluster", F.coalesce("cluster", F.lit("none"))), "grp", "cluster").withColumn("pos", F.lit(0))
+    groups = detect.cluster_entropy(g.withColumn("cluster", F.coalesce("cluster", F.lit("none"))), "grp", "cluster").withColumn("pos", F.lit(1))
+    stale = groups.withColumns({"entropy": F.lit(-1.0), "max_ratio": F.lit(-1.0), "pos": F.lit(0)})
+    own = detect.cluster_entropy(g.withColumn("cluster", F.coalesce("winner", F.lit("none"))), "grp", "cluster").withColumn("pos", F.lit(0))
     labels = g.select("winner", F.when(F.col("winner") == "model_a", 1).otherwise(0).alias("label"), "pos").where("winner is not null")
-    j = detect.feature_join(g.select("pos", "grp", "winner"), groups, labels, "grp", "winner")
-    return j.select("pos", "grp", F.round("entropy", 6).alias("entropy"), F.round("max_ratio", 6).alias("max_ratio"), "label")
+    j = detect.feature_join(g.select("pos", "grp", "winner"), stale.unionByName(groups), labels, "grp", "winner", own)
+    return j.select("pos", "grp", F.round("entropy", 6).alias("entropy"), F.round("max_ratio", 6).alias("max_ratio"), "label", (F.round("entropy_self", 6) + 0.0).alias("entropy_self"), F.round("max_ratio_self", 6).alias("max_ratio_self"))
 
 
 def det_gold_filter(spark, sf_dir):
@@ -269,7 +272,7 @@ SELECT answer_id, CASE WHEN a IS NOT NULL AND len(list_filter(gs, lambda g: a =
 s AS (SELECT DISTINCT grp, 0::BIGINT AS n, NULL::BIGINT AS pos, NULL::BIGINT AS leader, []::STRUCT(p BIGINT, u DOUBLE[])[] AS known FROM o UNION ALL
 SELECT grp, n, pos, coalesce(hit, pos), CASE WHEN hit IS NULL THEN list_append(known, {{'p': pos, 'u': u}}) ELSE known END FROM (SELECT o.grp, o.n, o.pos, o.u, s.known, list_filter(s.known, lambda k: list_dot_product(k.u, o.u) >= 0.3)[1].p AS hit FROM s JOIN o ON o.grp = s.grp AND o.n = s.n + 1))
 SELECT grp, pos, leader FROM s WHERE pos IS NOT NULL""",
-    "det_feature_join": f"WITH {_E} SELECT g.pos, g.grp, round(h.entropy, 6) AS entropy, round(h.max_ratio, 6) AS max_ratio, (g.winner = 'model_a')::INT AS label FROM g JOIN h ON g.grp = h.grp WHERE g.winner IS NOT NULL",
+    "det_feature_join": f"WITH {_E}, k2 AS (SELECT grp, coalesce(winner, 'none') AS cluster, count(*) AS k FROM g GROUP BY ALL), h2 AS (SELECT grp, ln(sum(k)::DOUBLE) - sum(k * ln(k::DOUBLE)) / sum(k) AS entropy, max(k) / sum(k)::DOUBLE AS max_ratio FROM k2 GROUP BY grp) SELECT g.pos, g.grp, round(h.entropy, 6) AS entropy, round(h.max_ratio, 6) AS max_ratio, (g.winner = 'model_a')::INT AS label, round(h2.entropy, 6) + 0.0::DOUBLE AS entropy_self, round(h2.max_ratio, 6) AS max_ratio_self FROM g JOIN h ON g.grp = h.grp JOIN h2 ON g.grp = h2.grp WHERE g.winner IS NOT NULL",
     "det_gold_filter": "SELECT question_id AS id, category AS gold, '[' || category || ', x]' AS listed FROM question WHERE coalesce(category, '') <> '' AND NOT contains(category, 'en.wikipedia.org')",
     "det_mixed_groups": f"WITH {_G}, r AS (SELECT grp, (winner = 'model_a')::INT AS label, len(logps)::DOUBLE AS v FROM g WHERE winner IS NOT NULL), p AS (SELECT grp, avg(v) FILTER (label = 0) AS m0, avg(v) FILTER (label = 1) AS m1 FROM r GROUP BY grp HAVING count(DISTINCT label) = 2) SELECT count(*) AS groups, round(sum(m0), 6) AS sum_0, round(sum(m1), 6) AS sum_1 FROM p",
     "det_baseline_metrics": f"WITH {_G}, r AS (SELECT (winner = 'model_a')::INT AS y, (len(logps) > 3)::INT AS p FROM g WHERE winner IS NOT NULL), c AS (SELECT sum(y * p)::DOUBLE AS tp, sum((1 - y) * p)::DOUBLE AS fp, sum(y * (1 - p))::DOUBLE AS fn, sum((1 - y) * (1 - p))::DOUBLE AS tn FROM r) SELECT round(100 * (tp / (tp + fn) - fp / (fp + tn) + 1) / 2, 6) AS auc, round(100 * (tp / (tp + fn) * tp / (tp + fp) + (1 - tp / (tp + fn)) * (tp + fn) / (tp + fp + fn + tn)), 6) AS ap, round(100 * (tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c",
