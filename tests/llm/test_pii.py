@@ -58,6 +58,33 @@ def test_held_out_lines_and_countries(monkeypatch):
     assert wrong <= 0.04 * 60 * len(held["none"])
 
 
+# Lines written after the field was finished, and measured once: nothing was changed for them.
+BLIND = {
+    "en": """Reminder: {N} takes over the night shift.|We owe {N} an apology.|The sofa belongs to {N} and will be fetched tomorrow.|Has anybody seen {N} today?|I was born {N} but changed it later.|My employer listed {N} as the emergency contact.|You could also try {E} instead.|New e-mail from today: {E}|Our fax machine has the number {P}.|She left {P} on my voicemail.|Number for the babysitter - {P}|The visa form shows {I} for me.|My driving licence {I} expires soon.|The taxi waited at {A} for an hour.|Mail for us goes to {A}.""",
+    "de": """{N} übernimmt die Leitung.|Wir danken {N} herzlich.|Meine Mail lautet {E}.|Die Praxis hat die Nummer {P}.|Unsere neue Anschrift ist {A}.""",
+    "fr": """{N} prend la relève lundi.|Nous remercions {N}.|Mon mail : {E}|Le cabinet a le {P}.|Notre bureau se trouve {A}.""",
+    "it": """{N} arriva lunedì.|Ringraziamo {N}.|La mia mail è {E}.|Lo studio ha il numero {P}.|L'ufficio è in {A}.""",
+    "none": """The firmware went from {n}.{n} to {n}.{n}.{d1} overnight.|Case {d4}-{d5} was closed in 20{d2}.|Multiply {d4} by {d3} and subtract {d4}.|Lot {d7} weighs {d3} kg.|We stayed in Costa Brava near Playa Grande.|The Ministry of Rural Affairs met twice.|Breadth First Search beats Depth First Search here.|A parrot called {S} speaks.|Warmest Wishes,\nThe Reading Circle|Server 172.20.{n}.{n} refused port {d4}.""",
+}
+
+
+def test_lines_written_afterwards():
+    finder, rng = Finder(train(), lexicon()), random.Random(2024)
+    tally, wrong = {}, 0
+    for country, lines in BLIND.items():
+        for template in lines.split("|"):
+            for _ in range(80):
+                text, true = pii_lines.fill(rng, template, country if country != "none" else "en")
+                want, got = collections.Counter(k for _, _, k in true), collections.Counter(c.type for c in finder.find(text))
+                for k in {*want, *got}:
+                    both = min(want[k], got[k])
+                    t = tally.setdefault(k, [0, 0])
+                    t[0], t[1], wrong = t[0] + both, t[1] + want[k] - both, wrong + got[k] - both
+    for k, (hit, missed) in tally.items():
+        assert hit / (hit + missed) >= 0.9, k
+    assert wrong <= 0.01 * sum(t[0] for t in tally.values())
+
+
 def test_plain_sentences_of_no_template():
     finder = Finder(train(), lexicon())
     for text, want in (
