@@ -25,12 +25,12 @@ def syllables(rng: random.Random, n: int) -> str:
 # Given names and surnames used in training lines, by country.
 PEOPLE = {
     "en": ("james mary john linda robert susan david karen thomas emily oliver george rachel laura simon hannah".split(), "smith jones taylor brown walker hughes edwards thompson wright harris clarke".split(), "wood ford ley ton worth well field man son".split()),
-    "de": ("hans klaus stefan andreas sabine monika heike ursula lena jonas katharina wolfgang greta".split(), "müller schmidt schneider fischer weber meyer wagner becker hoffmann koch".split(), "mann berg stein bach er burg".split()),
+    "de": ("hans klaus stefan andreas sabine monika heike ursula lena jonas katharina wolfgang".split(), "müller schmidt schneider fischer weber meyer wagner becker hoffmann koch".split(), "mann berg stein bach er burg".split()),
     "fr": ("pierre jean michel claire camille antoine nathalie philippe isabelle julien hugo".split(), "martin bernard dubois durand moreau laurent simon".split(), "aux eau ard ier oux et".split()),
-    "es": ("juan carlos miguel pablo carmen marta javier lucía antonio josé mateo rosa".split(), "garcía fernández gonzález lópez martínez sánchez pérez gómez".split(), "ez es ano era osa".split()),
+    "es": ("juan carlos miguel pablo carmen marta javier lucía antonio josé".split(), "garcía fernández gonzález lópez martínez sánchez pérez gómez".split(), "ez es ano era osa".split()),
     "it": ("giovanni luca marco paolo giulia francesca chiara alessandro elena".split(), "rossi russo ferrari esposito bianchi romano".split(), "ini etti elli ucci ano".split()),
-    "pt": ("joão pedro ana inês tiago beatriz rui joana".split(), "silva santos ferreira pereira oliveira costa".split(), "eira ões inho ares".split()),
-    "xx": ("ivan olga natalia dmitri mehmet ayşe ahmed fatima omar aisha raj priya amit wei hiroshi yuki minh emeka amara goran jelena lars astrid".split(), "ivanov petrov kim nguyen tran singh patel sharma khan yılmaz".split(), "ov ova ski ić sen ström oğlu enko wala".split()),
+    "pt": ("joão pedro ana inês tiago beatriz rui".split(), "silva santos ferreira pereira oliveira costa".split(), "eira ões inho ares".split()),
+    "xx": ("ivan olga natalia igor mehmet ayşe ahmed fatima omar hassan raj priya amit wei hiroshi yuki minh chidi amara boris lars astrid".split(), "ivanov petrov kim nguyen tran singh patel sharma khan yılmaz".split(), "ov ova ski ić sen ström oğlu enko wala".split()),
 }
 TITLED = {"en": "Mr Mrs Ms Miss Dr Prof. Mr. Mrs. Dr.".split(), "de": "Herr Frau Dr. Prof.".split(), "fr": "M. Mme Mlle Monsieur Madame".split(), "es": "Sr. Sra. Don Doña Dr. Dra.".split(), "it": "Sig. Signora Dott. Signor".split(), "pt": "Sr. Sra. Dra. Dona".split(), "xx": "Mr Ms Dr. Mrs Prof.".split()}
 

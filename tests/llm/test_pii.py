@@ -122,7 +122,7 @@ def test_lookalikes_stay():
 
 
 def test_replacement_keeps_the_rest(spark):
-    conv = [("user", "Ring me at +４４ ７７００ ９００９５８ tonight.\n\nMail nadia-907@example.com now. 日本 😀"), ("assistant", None), ("user", ""), ("assistant", "I'm elif tormaran, we live at 14B Larkspur Avenue. My SSN is 629 78 4394")]
+    conv = [("user", "Ring me at +４４ ７７００ ９００９５８ tonight.\n\nMail nadia-907@example.com now. 日本 😀"), ("assistant", None), ("user", ""), ("assistant", "I'm mehmet tormaran, we live at 14B Larkspur Avenue. My SSN is 629 78 4394")]
     rows = [(1, conv, conv[:1], "x"), (2, None, None, "x"), (3, [], None, "x")]
     m = "array<struct<role:string,content:string>>"
     df = spark.createDataFrame(rows, f"battle_id int, ca {m}, cb {m}, mentions_note string")
